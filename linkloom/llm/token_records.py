@@ -14,6 +14,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,14 @@ def records(f, index: np.ndarray, chunk: int = 8 << 20) -> Iterator[tuple[int |
         k = end
 
 
+class Places(dict):
+    """Numbers its keys as they come."""
+
+    def __missing__(self, key: bytes) -> int:
+        i = self[key] = len(self)
+        return i
+
+
 class WordEncoder:
     """Token ids of whole texts as the library gives them.
 
@@ -82,22 +91,37 @@ class WordEncoder:
     piece of its own, and is split off first. Texts with strings of special tokens are encoded in one piece.
     """
 
+    #: Letters that lower-casing and NFC keep, and that \\p{L} holds in every version of Unicode.
+    LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
     STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0D]|$)")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        #: The byte-level alphabet: a byte that prints stands for itself, the others for characters from 256 on.
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.table = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
         self.id_bytes = 2 if self.tok.get_vocab_size() <= 0x10000 else 4
         self.clear()
 
     def clear(self) -> None:
-        self.seen: dict[bytes, int] = {}
+        self.seen = Places()
         self.begin, self.count, self.ids, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
 
     def learn(self, new: list[bytes]) -> None:
-        got = [e.ids for e in self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
+        """Appends the ids of new words. What the library's normaliser and splitter leave alone, a word of Latin-1 small
+        letters, goes straight to its BPE model, other words through the whole library."""
+        model, letters, table = self.tok.model, self.LETTERS.fullmatch, self.table
+        words = [w.decode("utf-8", "replace") for w in new]
+        got: list = [model.tokenize(w) if x.isalpha() else model.tokenize(x.decode("latin-1").translate(table)) if letters(w) else None for w, x in zip(words, new, strict=True)]
+        got = [None if x is None else [t.id for t in x] for x in got]
+        rest = [i for i, x in enumerate(got) if x is None]
+        for k in range(0, len(rest), 4096):
+            part = rest[k : k + 4096]
+            for i, e in zip(part, self.tok.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
+                got[i] = e.ids
         n = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))
         if self.used + len(flat) > len(self.ids):
@@ -109,24 +133,16 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.seen) > self.most:
             self.clear()
-        seen, new, docs = self.seen, [], []
-
-        def place(w: bytes) -> int:
-            i = seen.get(w)
-            if i is None:
-                i = seen[w] = len(seen)
-                new.append(w)
-            return i
-
+        known, docs = len(self.seen), []
         for text in texts:
             data = (text or "").encode("utf-8", "surrogatepass")
             if any(s in data for s in self.special) or any(s in data.lower() for s in self.special):
                 docs.append(None)
             else:
                 words = self.STOP.sub(rb" \1", data.lower()).split()
-                docs.append(np.fromiter(map(place, words), np.int64, len(words)))
-        if new:
-            self.learn(new)
+                docs.append(np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words)))
+        if len(self.seen) > known:
+            self.learn(list(islice(self.seen, known, None)))
         flat = np.concatenate([x for x in docs if x is not None] or [np.zeros(0, np.int64)])
         n = self.count[flat] if len(flat) else flat
         ends = np.cumsum(n)
@@ -153,7 +169,7 @@ def encoder(path: str) -> WordEncoder:
     return cache["word-encoder", path]
 
 
-def by_size(texts: list[str | None], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def by_size(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts of about so many characters."""
     begin = size = 0
     for i, t in enumerate(texts):
