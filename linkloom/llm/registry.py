@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import OP2_SQL, op2_mixing
+from .token_counts import op5_token_counts
 from .token_records import op1_token_records
+from .warc import op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
+    "op2_mixing": op2_mixing,
+    "op5_token_counts": op5_token_counts,
+    "op7_warc": op7_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixing": OP2_SQL,
+}
