@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import op6_html_text
 from .mixing import OP2_SQL, op2_mixing
+from .quality import OP8_SQL, op8_line_quality
 from .token_counts import op5_token_counts
 from .token_records import op1_token_records
 from .warc import op7_warc
@@ -15,9 +17,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_mixing": op2_mixing,
     "op5_token_counts": op5_token_counts,
+    "op6_html_text": op6_html_text,
     "op7_warc": op7_warc,
+    "op8_line_quality": op8_line_quality,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": OP2_SQL,
+    "op8_line_quality": OP8_SQL,
 }

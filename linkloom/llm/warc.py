@@ -71,7 +71,7 @@ def parse_record(data: bytes) -> dict:
     return {"page_id": page(warc["warc-record-id"]), "url": warc["warc-target-uri"], "payload_bytes": n, "payload_digest": digest, "record_type": warc["warc-type"], "refers_to": page(warc.get("warc-refers-to", "")), "payload": payload}
 
 
-def read_archive(f, chunk: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
+def read_archive(f, chunk: int = 1 << 16) -> Iterator[tuple[int, int, bytes]]:
     """offset, compressed length and content of each gzip member of an open file, read in chunks."""
     base, data = 0, b""
     while True:
