@@ -36,7 +36,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
     return own.select("source", "source_size", F.least("most", F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, size: Column, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 0, rows_per_range: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, size: Column, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 0, rows_per_range: int = 1024) -> DataFrame:
     """Adds size, source_size, target and taken to docs(doc_id, source, ...); no row goes, and each row takes 0 to cap times its size.
 
     Every row gets a key that hashes doc_id, and equal ranges of the key cut each source into runs of about
