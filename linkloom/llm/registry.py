@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import op9_decontamination
 from .html_text import op6_html_text
+from .langid import op4_language_id
 from .mixing import OP2_SQL, op2_mixing
 from .quality import OP8_SQL, op8_line_quality
 from .token_counts import op5_token_counts
@@ -16,10 +18,12 @@ from .warc import op7_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_mixing": op2_mixing,
+    "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_html_text": op6_html_text,
     "op7_warc": op7_warc,
     "op8_line_quality": op8_line_quality,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLES: dict[str, str] = {
