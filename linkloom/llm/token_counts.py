@@ -81,7 +81,9 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     found = chosen.select("digest", "text").mapInArrow(encode, "digest binary, n_tokens long")
     # The same text under the same id twice is encoded twice, and gives one row here.
     found.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    known = spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Calls at the same time can both append a digest. Written out, its one row is a plain side of the join, so that
+    # adaptive execution can split a digest with very many copies on the other side.
+    known = written(spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return keyed.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
