@@ -351,7 +351,7 @@ def capture_history(pages: DataFrame, stamp: Column, folder: str | None = None)
     folder = folder or new_folder(pages.sparkSession, "warc")
     archives = write_archives(pages, stamp, folder)
     index = merge_index(archives.select("run", "n_rows"), folder).select("file", "offset", "length", "key", "stamp", "index_range", "index_pos")
-    return read_archives(archives).join(index, ["file", "offset"])
+    return read_archives(archives).join(index.hint("merge"), ["file", "offset"])  # the index grows with the pages
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
