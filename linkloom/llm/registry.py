@@ -10,6 +10,7 @@ from .decontam import op9_decontamination
 from .html_text import op6_html_text
 from .langid import op4_language_id
 from .mixing import OP2_SQL, op2_mixing
+from .near_dups import op3_near_dups
 from .quality import OP8_SQL, op8_line_quality
 from .token_counts import op5_token_counts
 from .token_records import op1_token_records
@@ -18,6 +19,7 @@ from .warc import op7_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_mixing": op2_mixing,
+    "op3_near_dups": op3_near_dups,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_html_text": op6_html_text,
