@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import op9_decontamination
 from .html_text import op6_html_text
 from .langid import op4_language_id
+from .lm_score import op10_lm_score
 from .mixing import OP2_SQL, op2_mixing
 from .near_dups import op3_near_dups
 from .quality import OP8_SQL, op8_line_quality
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_line_quality": op8_line_quality,
     "op9_decontamination": op9_decontamination,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES: dict[str, str] = {
