@@ -6,9 +6,9 @@
 2. Texts with equal sets are one class, which its smallest doc_id stands for; only that one goes on.
 3. Classes with equal band keys share a bucket. A bucket gives star edges only, from its smallest class to the others.
 4. Edges are confirmed on full sets, and components are found by alternating large and small stars.
-5. Classes that a bucket's star left in other components become centres of stars themselves, a few of each bucket at a
-   time, against the bucket's classes in other components, until none is left that hasn't been a centre. So pairs that
-   share a bucket are either in one component or were compared.
+5. Where a star leaves a bucket in several components, the classes outside the centre's are compared with the bucket's
+   others, in blocks, by sketches of SKETCH minimal hashes. Only pairs that could be similar leave a block; they are
+   confirmed as the edges were. So pairs that share a bucket are in one component, or were compared.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from .shared import PLACES, WordHashes, lower_words, mixed, ngram_hashes, worker
 
 SHINGLE = 5
 BINS, ROWS = 128, 4  # 32 bands: a pair at 0.75 shares none with a chance of 5e-6
-SLOTS = 8  # centres that a bucket can have in one round of step 5
 SIGMAS = 5.0
+SKETCH = 512  # independent minimal hashes, a byte of each
+BLOCK = 1000  # classes of a bucket in a block of step 5
 
 
 def shingles(text: str | None, cache: WordHashes) -> np.ndarray:
@@ -57,6 +58,15 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return mixed(rows.sum(1, dtype=np.uint64) + np.arange(1, BINS // ROWS + 1, dtype=np.uint64)).view(np.int64)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A byte of the smallest value that each of SKETCH permutations gives to a set's hashes."""
+    a = mixed(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
+    low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(s), 2048):
+        np.minimum(low, mixed(s[k : k + 2048, None] * a).min(0), out=low)
+    return (low >> np.uint64(24)).astype(np.uint8).tobytes()
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int = 75) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
@@ -130,6 +140,35 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def likely_in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members(k, m, of_m, of_centre) of a bucket k in different components whose sketches are alike.
+
+    Of each pair at least one is outside the component of the bucket's centre. A bucket is dealt to blocks of about BLOCK
+    members, so that it is spread over tasks however large it is, and rows are blocks, not pairs.
+    """
+    sizes = members.groupBy("k").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    own = members.join(sizes, "k").withColumn("block", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
+    own = own.join(sets.select(F.col("doc_id").alias("m"), "sketch"), "m").withColumn("outside", F.col("of_m") != F.col("of_centre"))
+    cells = own.groupBy("k", "block").agg(F.collect_list(F.struct("m", "of_m", "outside", "sketch")).alias("x"), F.max("outside").alias("some"))
+    cells = written(cells, "blocks")
+    pairs = cells.filter("some").select("k", F.filter("x", lambda c: c["outside"]).alias("x")).join(cells.select("k", F.col("x").alias("y")), "k").select("x", "y")
+    enough = 0.75 + 0.25 / 256 - SIGMAS * np.sqrt(0.75 * 0.25 / SKETCH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                (m, of, s), (n, by, t) = ((c.values.field("m").to_numpy(), c.values.field("of_m").to_numpy(), np.frombuffer(b"".join(c.values.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)) for c in (x, y))
+                a, b = [], []
+                for i in range(len(m)):
+                    other = np.flatnonzero(by != of[i])
+                    hit = other[(t[other] == s[i]).mean(1) >= enough]
+                    a.append(np.minimum(m[i], n[hit]))
+                    b.append(np.maximum(m[i], n[hit]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for all ends of edges(a, b) but the roots: the smallest end that each can be reached from.
 
@@ -173,7 +212,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     they are kept. An empty table gives an empty result. Other columns aren't read.
 
     Recall: a similar pair shares no bucket with a chance of 5e-6, and no pair is left out for the size of its bucket.
-    Copies cost one row each; near copies one edge for each bucket, of 32, but for the classes of step 5.
+    Of pairs that share one, signatures and sketches wrongly drop one in some millions (SIGMAS standard deviations).
+    Copies cost one row each, near copies one edge for each bucket, of 32, and what step 5 finds outside the stars.
     """
     spark = docs.sparkSession
     base = written(signed(docs), "signed")
@@ -194,37 +234,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, words).astype("<u8").tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["doc_id", "shingles"])
+                found = [shingles(t, words) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary()), pa.array([sketch(x) for x in found], pa.binary())], ["doc_id", "shingles", "sketch"])
 
-    sets = written(texts.mapInArrow(sets_of, "doc_id long, shingles binary"), "sets")
+    sets = written(texts.mapInArrow(sets_of, "doc_id long, shingles binary, sketch binary"), "sets")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return written(confirmed(written(likely(pairs, reps), "likely"), sets).distinct(), "edges")
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return written(confirmed(written(pairs, "likely"), sets).distinct(), "edges")
 
-    edges = linked(buckets.filter("m <> centre").select(F.col("centre").alias("a"), F.col("m").alias("b")).distinct())
+    edges = confirm(likely(buckets.filter("m <> centre").select(F.col("centre").alias("a"), F.col("m").alias("b")).distinct(), reps))
     roots = components(edges)
 
-    served = None
-    while True:
-        label = roots.select(F.col("node").alias("m"), F.col("root").alias("of_m"))
-        open_buckets = buckets.join(label, "m", "left").withColumn("of_m", F.coalesce("of_m", "m"))
-        centre = roots.select(F.col("node").alias("centre"), F.col("root").alias("of_centre"))
-        open_buckets = open_buckets.join(centre, "centre", "left").withColumn("of_centre", F.coalesce("of_centre", "centre"))
-        left = open_buckets.filter("of_m <> of_centre").select("k", "m", "of_m")
-        if served is not None:
-            left = left.join(served, "m", "left_anti")
-        left = written(left, "left")
-        turn = left.groupBy("k", F.pmod(F.xxhash64("m"), F.lit(SLOTS)).alias("slot")).agg(F.min("m").alias("m")).select("m").distinct()
-        turn = written(turn, "turn")
-        if not turn.limit(1).count():
-            break
-        stars = left.join(turn, "m", "left_semi").select("k", F.col("m").alias("a"), F.col("of_m").alias("of_a"))
-        pairs = stars.join(open_buckets.select("k", F.col("m").alias("b"), F.col("of_m").alias("of_b")), "k").filter("of_a <> of_b")
-        more = linked(pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b")))
-        if more.limit(1).count():
-            # The stars found so far stand for their edges.
-            roots = components(written(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more), "edges"))
-        served = turn if served is None else written(served.unionAll(turn), "served")
+    of_m = roots.select(F.col("node").alias("m"), F.col("root").alias("of_m"))
+    of_centre = roots.select(F.col("node").alias("centre"), F.col("root").alias("of_centre"))
+    rest = buckets.filter("m <> centre").join(of_m, "m", "left").join(of_centre, "centre", "left")
+    rest = written(rest.select("k", "m", F.coalesce("of_m", "m").alias("of_m"), F.coalesce("of_centre", "centre").alias("of_centre")), "rest")
+    split = rest.groupBy("k").agg(F.min("of_m").alias("low"), F.max("of_m").alias("high")).filter("low <> high").select("k")
+    more = confirm(likely_in_blocks(rest.join(split, "k", "left_semi"), sets))
+    if more.limit(1).count():
+        # The stars found so far stand for their edges.
+        roots = components(written(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more), "edges"))
 
     named_roots = roots.select(F.col("node").alias("doc_id"), F.col("root"))
     found = written(classes.join(named_roots, "doc_id", "left").select("digest", F.coalesce("root", "doc_id").alias("root")), "roots")
