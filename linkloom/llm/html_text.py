@@ -2,8 +2,8 @@
 
 Pass 1 decides blocks that are long enough to judge, and those in containers that are never an article (menus, forms,
 adverts, reader comments). Pass 2 gives short and doubtful blocks the label of the nearest decided blocks in their region.
-A page that marks its article (article, main, role=main) has that as its region, whose edges count as good; in other pages
-the body is the region and its edges count as bad.
+A page that marks its article (article, main, role=main, or else a div named so) has that as its region, whose edges count as
+good; in other pages the body is the region and its edges count as bad.
 """
 
 from __future__ import annotations
@@ -39,6 +39,9 @@ NEVER_NAMES = frozenset(
 #: Of these, the ones that count even on an element that marks an article.
 NEVER_ARTICLES = frozenset("ad ads advert advertisement comment comments promo reply replies sponsored related".split())
 
+#: Parts of a class or id that mark an article, where the page has no element for it.
+ARTICLE_NAMES = frozenset("article content entry main post story".split())
+
 TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)", re.I)
@@ -51,16 +54,18 @@ GOOD, NEAR, BRIEF, BAD = "good", "near-good", "short", "bad"
 
 
 class Block:
+    """article: 2 in an element that marks the article, 1 in one with a name that does."""
+
     __slots__ = ("text", "linked", "heading", "never", "article", "label")
 
-    def __init__(self, text: str, linked: int, heading: bool, never: bool, article: bool):
+    def __init__(self, text: str, linked: int, heading: bool, never: bool, article: int):
         self.text, self.linked, self.heading, self.never, self.article, self.label = text, linked, heading, never, article, ""
 
 
-def _never(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element's content is never an article, and whether it marks one."""
-    marks = name in ("article", "main")
-    if name in NEVER or (name == "header" and not in_article):
+def _never(name: str, attributes: str, article: int) -> tuple[bool, int]:
+    """Whether an element's content is never an article, and whether it marks one (2) or has the name of one (1)."""
+    marks = 2 if name in ("article", "main") else 0
+    if name in NEVER or (name == "header" and article < 2):
         return True, marks
     if not attributes or name in ("html", "body"):
         return False, marks
@@ -68,7 +73,7 @@ def _never(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
         if key == "role":
-            marks = marks or value in ("main", "article")
+            marks = 2 if value in ("main", "article") else marks
             if value in NEVER_ROLES:
                 return True, marks
         elif key == "style":
@@ -81,13 +86,15 @@ def _never(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
             parts.update(NAME_PART.findall(value))
     if HIDDEN.search(attributes) and not marks:
         return True, marks
-    return bool(parts & (NEVER_ARTICLES if marks else NEVER_NAMES)) or ("header" in parts and not in_article and not marks), marks
+    if parts & (NEVER_ARTICLES if marks else NEVER_NAMES) or ("header" in parts and article < 2 and not marks):
+        return True, marks
+    return False, marks or (1 if name in ("div", "section", "td") and parts & ARTICLE_NAMES else 0)
 
 
 def blocks(html: str) -> list[Block]:
     """The text between block tags, in page order, with what surrounds it. Empty blocks are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, never, article
+    stack: list[tuple[str, bool, int]] = []  # name, never, article
     parts: list[str] = []
     linked = at = links = 0
 
@@ -96,7 +103,7 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, linked, any(x[0] in HEADINGS for x in stack), *(stack[-1][1:] if stack else (False, False))))
+                out.append(Block(text, linked, any(x[0] in HEADINGS for x in stack), *(stack[-1][1:] if stack else (False, 0))))
             parts.clear()
         linked = 0
 
@@ -156,19 +163,19 @@ def blocks(html: str) -> list[Block]:
                 continue
             if name == "a":
                 links = 1
-            never, article = stack[-1][1:] if stack else (False, False)
-            own, marks = (False, False) if never or name in ("a", "b", "i", "em", "strong") else _never(name, attributes, article)
-            stack.append((name, never or own, article or (marks and not own and not never)))
+            never, article = stack[-1][1:] if stack else (False, 0)
+            own, marks = (False, 0) if never or name in ("a", "b", "i", "em", "strong") else _never(name, attributes, article)
+            stack.append((name, never or own, article if own or never else max(article, marks)))
     flush()
     return out
 
 
 def judge(found: list[Block]) -> None:
     """Labels blocks good or bad, in two passes."""
-    marked = any(b.article and not b.never for b in found)
+    marked = max((b.article for b in found if not b.never), default=0)
     for b in found:
         n = len(b.text)
-        if b.never or (marked and not b.article) or b.linked > LINKS * n:
+        if b.never or b.article < marked or b.linked > LINKS * n:
             b.label = BAD
         elif n < SHORT:
             b.label = BRIEF
@@ -176,7 +183,7 @@ def judge(found: list[Block]) -> None:
             words = NOT_LETTERS.sub(" ", b.text.lower()).split()
             density = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
             b.label = (GOOD if n > LONG else NEAR) if density >= STOP_HIGH else NEAR if density >= STOP_LOW or marked else BAD
-    region = [b for b in found if b.article and not b.never] if marked else found
+    region = [b for b in found if b.article == marked and not b.never] if marked else found
     edge = GOOD if marked else BAD
     first = [b.label for b in region]
 
