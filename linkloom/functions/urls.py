@@ -108,6 +108,16 @@ def semantic(url: Column) -> Column:
     return F.struct(scheme(url).alias("scheme"), bare.alias("host"), n.alias("port"), p.alias("path"), q.alias("query"), f.alias("fragment"), flags.alias("flags"))
 
 
+def semantic_url(s: Column) -> Column:
+    """The URL that a semantic struct stands for; path and fragment stay decoded."""
+    flag = lambda f: s["flags"].bitwiseAND(f) != 0
+    part = lambda there, *text: F.when(there, F.concat(*text)).otherwise(F.lit(""))
+    return F.concat(
+        s["scheme"], F.lit("://"), part(flag(FLAG_WWW), F.lit("www.")), s["host"], part(flag(FLAG_PORT), F.lit(":"), s["port"].cast("string")),
+        part(flag(FLAG_PATH), s["path"]), part(flag(FLAG_QUERY), F.lit("?"), s["query"]), part(flag(FLAG_FRAGMENT), F.lit("#"), s["fragment"]),
+    )
+
+
 def _sum(parts: Column, bits) -> Column:
     return F.aggregate(F.transform(parts, bits), F.lit(0), lambda a, x: a + x)
 

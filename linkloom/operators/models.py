@@ -51,6 +51,15 @@ def context_counts(urls: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
     return counts.select(F.col("k").alias("ctx_order"), F.shiftright("gram", 8).alias("ctx_key"), F.col("gram").bitwiseAND(255).cast("int").alias("symbol"), F.col("n").alias("cnt"))
 
 
+def run_counters(urls: DataFrame, percent: int = TRAIN_PERCENT, max_order: int = MAX_ORDER) -> DataFrame:
+    """One row: urls that aren't empty, those in training, their bytes, and distinct (context, symbol) entries."""
+    from .corpus import in_training
+
+    own = urls.filter("url <> ''").select("url", in_training(F.col("url"), percent).alias("t"))
+    sums = own.agg(F.count("*").alias("urls"), F.count_if("t").alias("train_urls"), F.coalesce(F.sum(F.when(F.col("t"), F.octet_length("url").cast("long"))), F.lit(0)).alias("train_bytes"))
+    return sums.join(context_counts(own.filter("t"), max_order).agg(F.count("*").alias("entries")), F.lit(True))
+
+
 def context_model(counts: DataFrame, min_count: int = PPM_MIN_COUNT, top_k: int = TOP_K) -> DataFrame:
     """ctx_order, ctx_key, symbol, cnt, place, ctx_total, low, high: the symbols that a context keeps, with their intervals.
 

@@ -68,3 +68,13 @@ def report(records: DataFrame, n: int = 100) -> DataFrame:
     for x in lists:
         out = out.join(x, F.lit(True))
     return out
+
+
+def as_text(row) -> str:
+    """A report row as text: figures first, then its lists as tables."""
+    own = row.asDict(recursive=True)
+    lines = [f"{k.replace('_', ' ') + ':':32}{f'{v:,.4f}' if isinstance(v, float) else f'{v:,}'}" for k, v in own.items() if isinstance(v, (int, float))]
+    for k, v in own.items():
+        if isinstance(v, list):
+            lines += ["", k.replace("_", " ").upper(), *(f"{x['count']:>14,}  {x['value']}" for x in v)]
+    return "\n".join(lines)

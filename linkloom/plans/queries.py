@@ -185,6 +185,8 @@ query("top_domains", lambda s, d: stats.top(stats.domains(records(s, d)), TOP_N)
 query("top_path_segments", lambda s, d: stats.top(stats.segments(records(s, d)), TOP_N), f"with {U_SQL}, v as (select value from (select unnest(string_split(trim(url_path, '/'), '/')) as value from u) where value <> '') {TOP_SQL}")
 query("top_query_keys", lambda s, d: stats.top(stats.query_keys(records(s, d)), TOP_N), f"with {U_SQL}, v as (select lower(split_part(p, '=', 1)) as value from (select unnest(string_split(url_query, '&')) as p from u) where p <> '') {TOP_SQL}")
 
+query("stats_report", lambda s, d: stats.report(records(s, d), TOP_N))
+
 # --- n-grams -----------------------------------------------------------------------------------------------------------
 
 
@@ -234,6 +236,7 @@ MODEL_SQL = f"""{COUNTS_SQL}, kept as (select *, row_number() over (partition by
   m as (select ctx_order, ctx_key, symbol, cnt, place, cast(sum(cnt) over (partition by ctx_order, ctx_key) as bigint) as ctx_total, cast(sum(cnt) over (partition by ctx_order, ctx_key order by place) - cnt as bigint) as low, cast(sum(cnt) over (partition by ctx_order, ctx_key order by place) as bigint) as high
         from kept where ctx_order = 0 or place <= {models.TOP_K})"""
 query("ppm_counts", lambda s, d: models.context_counts(training(s, d)), f"with {COUNTS_SQL} select * from cnts")
+query("ppm_run_counters", lambda s, d: models.run_counters(pages(s, d)), f"with {COUNTS_SQL} select (select count(*) from pages where url <> '') as urls, (select count(*) from tr) as train_urls, (select cast(sum(c) as bigint) from n where k = 0) as train_bytes, (select count(*) from n) as entries")
 query("ppm_model", lambda s, d: models.contexts(model(s, d)).select("ctx_order", "ctx_key", "ctx_total", F.size("symbols").alias("n_symbols"), F.get("symbols", F.lit(0))["symbol"].alias("first_symbol")), f"with {MODEL_SQL} select ctx_order, ctx_key, max(ctx_total) as ctx_total, cast(count(*) as int) as n_symbols, max(case when place = 1 then symbol end) as first_symbol from m group by ctx_order, ctx_key")
 query("ppm_intervals", model, f"with {MODEL_SQL} select * from m")
 POSITIONS_SQL = f"""b as (select page_id as url_id, hex(encode(url)) as h from pages), ps as (select url_id, h, unnest(generate_series(1, length(h) // 2)) as pos from b),
@@ -263,6 +266,8 @@ query(
         (case when {PORT_SQL} is not null then 1 else 0 end + case when {PATH_SQL} <> '' then 2 else 0 end + case when {QUERY_SQL} is not null then 4 else 0 end + case when {FRAGMENT_SQL} <> '' then 8 else 0 end + case when {WWW_SQL} then 16 else 0 end)::int as flags from pages""",
 )
 
+query("semantic_inverse", lambda s, d: pages(s, d).select("url", U.semantic_url(U.semantic(F.col("url"))).alias("again")), "select url, url as again from pages")
+
 
 def _listed(words: list) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"

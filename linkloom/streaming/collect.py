@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Callable
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
@@ -46,6 +47,7 @@ class Plan:
     quota: int = corpus.DOMAIN_QUOTA
     oversample: float = 3.0
     workers: int = 8
+    progress: Callable[[str], None] = lambda line: None
 
     def __post_init__(self) -> None:
         if min(self.target, self.per_source, self.quota, self.workers) < 1 or self.oversample < 1:
@@ -110,8 +112,10 @@ def collect(spark: SparkSession, plan: Plan, state: State, ranked: DataFrame, ai
                 if done.exception() is None:
                     state.completed[str(k)] = done.result()
                     save_state(spark, plan, state)
+                    plan.progress(f"{plan.sources[k]}: {state.completed[str(k)]['rows']} rows, {state.rows} of {aim}")
                 else:
                     failed[k] = done.exception()
+                    plan.progress(f"{plan.sources[k]} failed: {failed[k]}")
 
 
 def final_rows(spark: SparkSession, plan: Plan, state: State) -> DataFrame:

@@ -134,3 +134,15 @@ def test_context_model(spark):
     got = {(r["ctx_order"], r["ctx_key"], r["symbol"]): (r["cnt"], r["low"], r["high"], r["ctx_total"]) for r in models.context_model(counts).collect()}
     assert got == {(0, 0, 97): (3, 0, 3, 6), (0, 0, 98): (2, 3, 5, 6), (0, 0, 99): (1, 5, 6, 6), (1, 97, 98): (2, 0, 2, 2)}
     assert models.context_model(counts, 1, 1).filter("ctx_order = 1").count() == 1
+
+
+def test_report_text(spark):
+    own = records(spark, [("http://a/x?k=1", "a", "http", "/x", "k=1", None)] * 2)
+    text = stats.as_text(stats.report(own, 5).first())
+    assert "TOP DOMAINS\n             2  a" in text and "total urls:" in text and "100.0000" in text
+
+
+def test_semantic_inverse(spark):
+    cases = {"https://www.e.com:81/a?b#c": "https://www.e.com:81/a?b#c", "HTTP://WWW.e.com": "http://www.e.com", "http://e.com/%41": "http://e.com/A", "mailto:x": "mailto://"}
+    got = urls(spark, cases).select("url", U.semantic_url(U.semantic(F.col("url"))).alias("u")).collect()
+    assert {r["url"]: r["u"] for r in got} == cases
