@@ -1,0 +1,82 @@
+import itertools
+import zlib
+
+import numpy as np
+import pytest
+
+from linkloom.llm import langid as L
+
+FRENCH = "le chat et la souris sont dans la maison avec les enfants qui jouent"
+ENGLISH = "the cat and the mouse are in the house with the children who are playing"
+RUSSIAN = "кошка и мышка в доме вместе с детьми которые играют"
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    rows = [(k, t, lang) for k in range(30) for t, lang in ((FRENCH + f" {k}", "fr"), (ENGLISH + f" {k}", "en"), (RUSSIAN + f" {k}", "ru"), (None, "fr"), (ENGLISH, None))]
+    return L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def test_viterbi():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        k, lengths, penalty = rng.integers(2, 5), rng.integers(0, 7, size=4), float(rng.uniform(0, 2))
+        scores = rng.normal(size=(int(lengths.sum()), k)).astype(np.float32)
+        got, at = L.viterbi(scores, lengths, penalty), 0
+        for n in lengths:
+            value = lambda p: sum(scores[at + i, x] for i, x in enumerate(p)) - penalty * sum(a != b for a, b in itertools.pairwise(p))  # noqa: B023, E731
+            if n:
+                assert value(got[at : at + n]) == pytest.approx(max(map(value, itertools.product(range(k), repeat=int(n)))), abs=1e-4)
+            at += n
+
+
+def test_spans(model):
+    lab = L.Labeller(model, L.PENALTY)
+    (lang, score, spans), = lab.label([f"{ENGLISH}. {FRENCH}! {ENGLISH} {ENGLISH}"])
+    assert [s[2] for s in spans] == ["en", "fr", "en"] and lang == "en" and 0.5 < score < 1
+    n = [len(L.words(x)) for x in (ENGLISH, FRENCH)]
+    assert abs(spans[1][0] - n[0]) <= 2 and abs(spans[1][1] - sum(n)) <= 2
+    assert lab.label([RUSSIAN])[0][:2] == ("ru", 1.0)
+    assert lab.label(["123 --- !!", "", None]) == [("und", 0.0, [])] * 3
+    assert lab.label(["漢字"])[0][0] in model["langs"]  # a script that no language has
+
+
+def test_memory_can_be_emptied(model, monkeypatch):
+    texts = [FRENCH, ENGLISH, RUSSIAN] * 3
+    want = L.Labeller(model, L.PENALTY).label(texts)
+    monkeypatch.setattr(L, "MOST_WORDS", 5)
+    lab = L.Labeller(model, L.PENALTY)
+    assert [lab.label([t])[0] for t in texts] == want
+
+
+def test_scripts_cover_everything():
+    for c in ("a", "é", "ß", "я", "α", "漢", "か", "한", "ا", "ก", "\U0001f600", "\U00020000"):
+        assert 0 <= L.script_of(c) < len(L.NAMES)
+    assert [L.NAMES[L.script_of(c)] for c in "aяα漢か한"] == ["Latin", "Cyrillic", "Greek", "Han", "Kana", "Hangul"]
+    assert L.STARTS == sorted(set(L.STARTS))
+
+
+def test_odd_rows(odd, model):
+    out = L.identify(odd, model)
+    got = out.collect()
+    assert len(got) == odd.count() and set(out.columns) == {*odd.columns, "lang_pred", "score", "spans"}
+    for r in got:
+        assert (r["lang_pred"] == "und") == (not L.words(r["text"])) and 0 <= r["score"] <= 1
+
+
+def test_empty(empty, model):
+    assert L.identify(empty, model).count() == 0
+    none = L.fit(empty)
+    assert none["langs"] == []
+
+
+def test_no_labels(odd):
+    assert {r["lang_pred"] for r in L.identify(odd, {"langs": [], "table": np.zeros((L.BUCKETS, 0), np.float32), "scripts": np.zeros((len(L.NAMES), 0), bool)}).collect()} == {"und"}
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    got = L.op4_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert len(held) > 200 and sum(r["lang"] == r["lang_pred"] for r in held) >= 0.99 * len(held)

@@ -1,0 +1,102 @@
+import math
+import random
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from linkloom.llm import lm_score as S
+
+from .conftest import words
+
+LEARN = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 1, F.lit(True))
+
+
+def by_hand(rows, priors):
+    seqs = [[w.lower() for w in (t or "").encode().split()] + [None] for _, t in rows]
+    learn = [d is None or zlib.crc32(str(d).encode()) % 5 != 1 for d, _ in rows]
+    n = Counter()  # of windows of 1 to len(priors) + 1 tokens, the begin being one that only starts them
+    texts = sum(learn)
+    for s, use in zip(seqs, learn, strict=True):
+        if use:
+            full = [b" begin", *s]
+            for k in range(1, len(priors) + 2):
+                n.update(tuple(full[i : i + k]) for i in range(k == 1, len(full) - k + 1))
+    n[(b" begin",)] = texts
+    one = {g[0]: c for g, c in n.items() if len(g) == 1 and g[0] != b" begin"}
+    total, distinct = sum(one.values()), len(one)
+
+    def p(context, w):
+        if not context:
+            return (one.get(w, 0) + 0.5) / (total + 0.5 * (distinct + 1))
+        prior = priors[len(context) - 1]
+        return (n[(*context, w)] + prior * p(context[1:], w)) / (n[context] + prior)
+
+    out = []
+    for (d, _), s, use in zip(rows, seqs, learn, strict=True):
+        full = [b" begin", *s]
+        score = sum(math.log10(p(tuple(full[max(0, i - len(priors)) : i]), full[i])) for i in range(1, len(full)))
+        out.append((d, use, len(s), sum(one.get(w, 0) > 0 for w in s), total, round(sum(math.log10(p((), w)) for w in s), 5), round(score, 5)))
+    return sorted(out, key=repr)
+
+
+def run(df, **how):
+    return sorted(((*tuple(r)[:5], round(r["base_score"], 5), round(r["score"], 5)) for r in S.score(df, LEARN, **how).collect()), key=repr)
+
+
+@pytest.mark.parametrize("block", [1, 50, 10**6])
+@pytest.mark.parametrize("priors", [(), (3.0,), (3.0, 1.5), (3.0, 1.5, 0.5)])
+def test_against_brute_force(docs_of, block, priors):
+    rng = random.Random(0)
+    rows = [(k, words(rng, rng.randrange(30), rng.choice([8, 40, 2000])), "en", "s", 0) for k in range(60)]
+    rows += [(100 + k, rows[k][1], "en", "s", 0) for k in range(10)]
+    got, want = run(docs_of(rows), priors=priors, block_tokens=block), by_hand([r[:2] for r in rows], priors)
+    for a, b in zip(got, want, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=2e-5)
+
+
+def test_odd_rows(odd):
+    got, want = run(odd), by_hand([(r["doc_id"], r["text"]) for r in odd.collect()], S.PRIORS)
+    for a, b in zip(got, want, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-6, abs=2e-5)
+
+
+def test_empty_and_untrained(empty, docs_of):
+    assert run(empty) == []
+    got = S.score(docs_of([(1, "a b", "en", "s", 0)]), F.lit(False)).collect()
+    assert (got[0]["n_tokens"], got[0]["n_known"], got[0]["train_tokens"]) == (3, 0, 0) and got[0]["score"] == pytest.approx(got[0]["base_score"])
+
+
+def test_probabilities_after_a_word_sum_to_one(docs_of):
+    """The model's words and one unknown, after a known word."""
+    rows = [(0, "a b a c a b", "en", "s", 0), (2, "b a", "en", "s", 0)] + [(100 + k, f"a {w}", "en", "s", 0) for k, w in enumerate(["a", "b", "c", "unknown"])]
+    learn = F.col("doc_id") < 100
+    got = {r["doc_id"]: r["score"] for r in S.score(docs_of(rows), learn, priors=(2.0,)).collect()}
+    # the share of each continuation of "a", from scores of "a w <end>" with known counts
+    one, two = Counter("abacab") + Counter("ba") + Counter({"<e>": 2}), Counter({("a", "b"): 2, ("a", "c"): 1, ("a", "<e>"): 1, ("b", "a"): 2, ("b", "<e>"): 1, ("c", "a"): 1, ("<b>", "a"): 1, ("<b>", "b"): 1})
+    total, distinct = sum(one.values()), len(one)
+    p = lambda w: (one[w] + 0.5) / (total + 0.5 * (distinct + 1))
+    after = lambda b, w, n: (two[b, w] + 2.0 * p(w)) / (n + 2.0)
+    assert sum(after("a", w, one["a"]) for w in ("a", "b", "c", "<e>", "unknown")) == pytest.approx(1)
+    for k, w in enumerate(["a", "b", "c", "unknown"]):
+        assert got[100 + k] == pytest.approx(math.log10(after("<b>", "a", 2) * after("a", w, one["a"]) * after(w, "<e>", one[w])))
+
+
+def test_rare_words_take_more_bytes(docs_of, monkeypatch):
+    monkeypatch.setattr(S, "RARE", 5)
+    rows = [(k, f"a b c d e f g h w{k} w{k + 1}", "en", "s", 0) for k in range(20)]
+    for a, b in zip(run(docs_of(rows)), by_hand([r[:2] for r in rows], S.PRIORS), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=2e-5)
+
+
+def test_query_beats_its_base_on_held_out_texts(spark, sf_dir):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = S.op10_lm_score(spark, sf_dir).collect()
+    want = {r[0]: r for r in by_hand(docs, S.PRIORS)}
+    for r in got:
+        w = want[r["doc_id"]]
+        assert (not r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == w[1:5]
+        assert (r["base_score"], r["score"]) == pytest.approx(w[5:], abs=1e-4)
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)

@@ -1,0 +1,66 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from linkloom.llm import langid
+from linkloom.llm.shared import written
+
+from .conftest import DOCS
+from .test_decontam import by_hand as leaks
+from .test_mixing import by_hand as mix
+from .test_near_dups import by_hand as dups
+from .test_token_records import expected
+
+WORDS = {"en": "the of and to in is that it for was on are as with they be at have this from or one had by word but not what all were we when your can said there".split(), "fr": "le de un et être avoir que pour dans ce il qui ne sur se pas plus pouvoir par je avec tout faire son mettre autre on mais nous comme ou si leur dire elle devoir".split()}
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    rng, at = random.Random(6), tmp_path_factory.mktemp("sf")
+    text = lambda lang, n: " ".join(rng.choice(WORDS[lang]) for _ in range(n))
+    rows = [(k, text(lang := rng.choice(["en", "fr"]), rng.randrange(60, 160)), lang, rng.choice("aabc"), 0) for k in range(120)]
+    items = [(k, text("en", 30)) for k in range(5)]
+    rows += [(200 + k, rows[k][1] + " end", rows[k][2], "b", 0) for k in range(10)]  # near copies
+    rows += [(300 + k, f"{text('en', 40)} {items[k][1]} {text('en', 40)}", "en", "c", 0) for k in range(5)]  # leaks
+    rows += [(400, None, "en", "a", 0), (401, "123 456", "en", "a", 0), (402, "", None, None, None)]  # no letter
+    spark.createDataFrame(rows, DOCS).write.parquet(f"file://{at}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"file://{at}/benchmark.parquet")
+    return f"file://{at}", rows, items
+
+
+def test_every_stage_against_brute_force(spark, folder):
+    at, rows, items = folder
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    results, frames = [], []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, at), name.replace(" ", "-"))
+        frames.append(docs)
+        results.append([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()] if "text" in docs.columns else docs.collect())
+    for frame in frames[:-1]:
+        assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    language, unique, clean, mixed, tokens = results
+    assert {r[0] for r in language} == {r[0] for r in rows if r[1] and langid.words(r[1])}
+    assert {r[0] for r in unique} == {r[0] for r in dups([r[:2] for r in language]) if r[3]}
+    assert not {r[0] for r in unique} & set(range(200, 210))
+    assert {r[0] for r in clean} == {r[0] for r in unique} - {r[0] for r in leaks([r[:2] for r in unique], items)}
+    assert not {r[0] for r in clean} & set(range(300, 305)) and len(clean) >= 110
+    taken = {}
+    for d, t, _ in mixed:
+        taken[d] = taken.get(d, 0) + len(t.split())
+    assert taken == {r[0]: r[4] for r in mix(clean) if r[4]}
+    assert sorted(tuple(r[:4]) for r in tokens) == sorted(expected([r[:2] for r in mixed]))
+    assert corpus_pipeline.run(spark, at).count() == len(tokens)
+
+
+def test_empty(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_registered():
+    import __spark_entry__ as entry
+
+    assert "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")) == list(range(1, 11))
