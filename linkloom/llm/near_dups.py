@@ -27,7 +27,7 @@ SHINGLE = 5
 BINS, ROWS = 128, 4  # 32 bands: a pair at 0.75 shares none with a chance of 5e-6
 SIGMAS = 4.5
 SKETCH = 1024  # independent minimal hashes, a byte of each
-BLOCK = 1000  # classes of a bucket in a block of step 5
+BLOCK = 250  # classes of a bucket in a block of step 5
 
 
 def shingles(text: str | None, cache: WordHashes) -> np.ndarray:
@@ -62,8 +62,8 @@ def sketch(s: np.ndarray) -> bytes:
     """A byte of the smallest value that each of SKETCH permutations gives to a set's hashes."""
     a = mixed(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
     low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(s), 2048):
-        np.minimum(low, mixed(s[k : k + 2048, None] * a).min(0), out=low)
+    for k in range(0, len(s), 128):
+        np.minimum(low, mixed(s[k : k + 128, None] * a).min(0), out=low)
     return (low >> np.uint64(24)).astype(np.uint8).tobytes()
 
 
@@ -88,8 +88,8 @@ def signed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, order = _cache()
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
                 n, digests, keys, sigs = [], [], [], []
                 for text in part.column(2).to_pylist():
                     s = shingles(text, words)
@@ -149,7 +149,9 @@ def likely_in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(np.frombuffer(x.as_buffer(), "<u8")) for x in batch.column(1)], pa.binary())], ["m", "sketch"])
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sketch(np.frombuffer(x.as_buffer(), "<u8")) for x in part.column(1)], pa.binary())], ["m", "sketch"])
 
     drawn = sets.join(members.select(F.col("m").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sketches, "m long, sketch binary")
     sizes = members.groupBy("k").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))

@@ -68,7 +68,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = value
         return value
