@@ -156,23 +156,28 @@ def likely_in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     drawn = sets.join(members.select(F.col("m").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sketches, "m long, sketch binary")
     sizes = members.groupBy("k").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     own = members.join(sizes, "k").withColumn("block", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
-    own = own.join(drawn, "m").withColumn("outside", F.col("of_m") != F.col("of_centre"))
-    cells = own.groupBy("k", "block").agg(F.collect_list(F.struct("m", "of_m", "outside", "sketch")).alias("x"), F.max("outside").alias("some"))
+    shared = members.groupBy("m").agg(F.collect_set("k").alias("ks"))
+    own = own.join(drawn, "m").join(shared, "m").withColumn("outside", F.col("of_m") != F.col("of_centre"))
+    cells = own.groupBy("k", "block").agg(F.collect_list(F.struct("m", "of_m", "outside", "sketch", "ks")).alias("x"), F.max("outside").alias("some"))
     cells = written(cells, "blocks")
-    pairs = cells.filter("some").select("k", F.filter("x", lambda c: c["outside"]).alias("x")).join(cells.select("k", F.col("x").alias("y")), "k").select("x", "y")
+    pairs = cells.filter("some").select("k", F.filter("x", lambda c: c["outside"]).alias("x")).join(cells.select("k", F.col("x").alias("y")), "k").select("k", "x", "y")
     enough = 0.75 + 0.25 / 256 - SIGMAS * np.sqrt(0.75 * 0.25 / SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                (m, of, s), (n, by, t) = ((c.values.field("m").to_numpy(), c.values.field("of_m").to_numpy(), np.frombuffer(b"".join(c.values.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)) for c in (x, y))
+            for key, x, y in zip(batch.column("k").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                (m, of, s, ks), (n, by, t, kt) = (
+                    (c.values.field("m").to_numpy(), c.values.field("of_m").to_numpy(), np.frombuffer(b"".join(c.values.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH), [set(z) for z in c.values.field("ks").to_pylist()])
+                    for c in (x, y)
+                )
                 a, b = [], []
                 for i in range(len(m)):
                     other = np.flatnonzero(by != of[i])
-                    hit = other[(t[other] == s[i]).mean(1) >= enough]
-                    a.append(np.minimum(m[i], n[hit]))
-                    b.append(np.maximum(m[i], n[hit]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                    for j in other[(t[other] == s[i]).mean(1) >= enough]:
+                        if min(ks[i] & kt[j]) == key:  # of the buckets that both are in, one names the pair
+                            a.append(min(m[i], n[j]))
+                            b.append(max(m[i], n[j]))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
