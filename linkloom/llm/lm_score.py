@@ -1,21 +1,25 @@
-"""LM scoring (10): a weighted backoff automaton over a bigram model that learns from the whole corpus.
+"""LM scoring (10): a weighted backoff automaton over an n-gram model that learns from the whole corpus.
 
-States are contexts: the empty one (root) and each word. A state's arc for a word that followed it in training carries that
-word's smoothed probability; for any other word a failure arc leads to the root at the cost of the state's backoff weight,
-and the root has an arc for every word. Smoothing is by a Dirichlet prior from the lower order,
+States are contexts, the last words of a text as far as training has them: the empty one (root), words, pairs of words. A
+state's arc for a word that followed it in training carries that word's smoothed probability; for any other word a failure
+arc leads to the next shorter context at the cost of the state's backoff weight, and the root has an arc for every word.
+Smoothing is by Dirichlet priors from the lower order,
 
-    p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)),    p(w | b) = (c(b w) + prior * p(w)) / (c(b) + prior),
+    p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)),    p(w | h) = (c(h w) + prior * p(w | h')) / (c(h) + prior),
 
-so the backoff weight of b is prior / (c(b) + prior), and probabilities of all words after b sum to one.
+so the backoff weight of h is prior / (c(h) + prior), and the probabilities of all words after h sum to one.
 
-No task holds the model. Texts are dealt to blocks; a block asks for the counts of its own n-grams, the counts are summed
-by hash ranges over all blocks, and each block gets those it asked for and builds the part of the automaton that its texts
-can reach. So memory is bounded by a block and a hash range, however large the corpus and its vocabulary.
+No task holds the model. Texts are dealt to blocks. Order by order, a block asks for the counts of its own n-grams, the
+counts are summed by hash ranges over all blocks, and each block gets back those it asked for. It asks only for
+n-grams that other blocks can have as well, those whose shorter parts both are elsewhere; of others its own count is all. At last
+each block builds the part of the automaton that its texts can reach. So memory is bounded by a block and a hash range,
+however large the corpus and its vocabulary.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,26 +27,30 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, lower_words, mixed, width, word_hashes, worker_cache, written
+from .shared import WordHashes, lower_words, mixed, new_folder, width, word_hashes, worker_cache, written
 
-PRIOR = 300.0
-BLOCK_TOKENS = 500_000
+PRIORS = (300.0, 10.0)  # of pairs, of triples
+BLOCK_TOKENS = 1_000_000
 #: Tokens with white space, which no word has.
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end", b" begin"))
-ONE = np.uint64(1)
+RARE = 0xFFFF
 
-BLOCK = "block long, doc_ids binary, no_id binary, train binary, lengths binary, words binary, tokens binary"
+BLOCK = "block long, doc_ids binary, no_id binary, train binary, lengths binary, words binary, tokens binary, rare binary"
 
 
 def _pack(block: int, rows: list[tuple[int | None, bool, np.ndarray]]) -> tuple:
-    """A block: its distinct word hashes, the most frequent first, and each text as places among them."""
+    """A block: its distinct word hashes, the most frequent first, and its texts as places among them, in two bytes where they fit."""
     flat = np.concatenate([np.append(r[2], END) for r in rows])
     words, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
     order = np.argsort(-counts, kind="stable")
     place = np.empty(len(words), np.uint32)
     place[order] = np.arange(len(words), dtype=np.uint32)
+    tokens = place[inverse]
     ids = np.array([0 if r[0] is None else r[0] for r in rows], np.int64)
-    return block, ids.tobytes(), np.array([r[0] is None for r in rows]).tobytes(), np.array([r[1] for r in rows]).tobytes(), np.array([len(r[2]) + 1 for r in rows], np.uint32).tobytes(), words[order].tobytes(), place[inverse].tobytes()
+    return (
+        block, ids.tobytes(), np.array([r[0] is None for r in rows]).tobytes(), np.array([r[1] for r in rows]).tobytes(), np.array([len(r[2]) + 1 for r in rows], np.uint32).tobytes(),
+        words[order].tobytes(), np.minimum(tokens, RARE).astype(np.uint16).tobytes(), tokens[tokens >= RARE].tobytes(),
+    )
 
 
 def blocks(docs: DataFrame, learn: Column, block_tokens: int) -> DataFrame:
@@ -55,96 +63,162 @@ def blocks(docs: DataFrame, learn: Column, block_tokens: int) -> DataFrame:
         names = [x.split()[0] for x in BLOCK.split(", ")]
         first, n, rows, size = TaskContext.get().partitionId() << 32, 0, [], 0
         for batch in batches:
-            for doc_id, train, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = word_hashes(lower_words(text), cache)
-                rows.append((doc_id, bool(train), h))
-                size += len(h) + 1
-                if size >= block_tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in _pack(first + n, rows)], names)
-                    n, rows, size = n + 1, [], 0
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                for doc_id, train, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    h = word_hashes(lower_words(text), cache)
+                    rows.append((doc_id, bool(train), h))
+                    size += len(h) + 1
+                    if size >= block_tokens:
+                        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in _pack(first + n, rows)], names)
+                        n, rows, size = n + 1, [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in _pack(first + n, rows)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), learn.alias("train"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCK)
 
 
+class Grams:
+    """A block's distinct n-grams of one order.
+
+    ``at``: the n-gram that ends at each token, -1 where the text's begin is too near. ``keys``: their hashes, equal in all
+    blocks. ``left``, ``right``: each one's n-gram of the order below without its last word, and without its first.
+    ``own``: its count in the block's training texts; ``count``: in all of them.
+    """
+
+    def __init__(self, at: np.ndarray, keys: np.ndarray, left: np.ndarray, right: np.ndarray, train: np.ndarray):
+        self.at, self.keys, self.left, self.right = at, keys, left, right
+        self.own = np.bincount(at[train & (at >= 0)], minlength=len(keys))
+        self.count = self.own.copy()
+        self.elsewhere = np.ones(len(keys), bool)  # whether other blocks have it
+
+
 class Block:
-    """A block's tokens with their contexts, and its distinct n-grams as sorted hashes: an even hash is a word's, an odd one a pair's."""
+    """A block's tokens, and its n-grams as far as they have been built."""
 
     def __init__(self, row: dict):
         self.doc_ids = np.frombuffer(row["doc_ids"], np.int64)
         self.no_id, self.train = np.frombuffer(row["no_id"], bool), np.frombuffer(row["train"], bool)
         self.lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
-        self.words, self.tokens = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["tokens"], np.uint32).astype(np.int64)
+        self.words = np.frombuffer(row["words"], np.uint64)
+        self.tokens = np.frombuffer(row["tokens"], np.uint16).astype(np.int64)
+        self.tokens[self.tokens == RARE] = np.frombuffer(row["rare"], np.uint32)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        hashes = np.append(self.words, BEGIN)
-        self.states = np.empty_like(self.tokens)  # the word before each token
-        self.states[1:] = self.tokens[:-1]
-        self.states[self.starts] = len(self.words)
-        left, right = mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)), mixed(hashes)
-        pairs = mixed(left[self.states] * np.uint64(3) + right[self.tokens]) | ONE
-        self.pair_keys, self.pair = np.unique(pairs, return_inverse=True)
-        word_keys = right[:-1] & ~ONE
-        self.keys = np.sort(np.concatenate([word_keys, self.pair_keys]))
-        self.word_place = np.searchsorted(self.keys, word_keys)
-        self.pair_place = np.searchsorted(self.keys, self.pair_keys)
-
-    def counts(self) -> np.ndarray:
-        """Of each key in the block's training texts."""
-        train = np.repeat(self.train, self.lengths)
-        out = np.zeros(len(self.keys), np.int64)
-        np.add.at(out, self.word_place, np.bincount(self.tokens[train], minlength=len(self.words)))
-        out[self.pair_place] = np.bincount(self.pair[train], minlength=len(self.pair_keys))
-        return out
+        self.trained = np.repeat(self.train, self.lengths)
+        self.before = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lengths)  # tokens before each in its text
+        none = np.zeros(len(self.words), np.int64)
+        self.orders = [Grams(self.tokens, mixed(self.words), none, none, self.trained)]
+
+    def extend(self) -> None:
+        """Builds the next order. A text's begin is a word that only contexts have, numbered after the others."""
+        below, n, begin = self.orders[-1], len(self.orders), len(self.words)
+        previous = np.roll(below.at, 1)
+        if n == 1:
+            previous[self.starts] = begin
+        else:
+            previous[self.before == 0] = -1
+        there = np.flatnonzero(previous >= 0)
+        code, at = np.unique(previous[there] * np.int64(begin + 1) + self.tokens[there], return_inverse=True)
+        full = np.full(len(self.tokens), -1, np.int64)
+        full[there] = at
+        left, word = code // (begin + 1), code % (begin + 1)
+        parents = np.append(below.keys, mixed(np.array([BEGIN]))) if n == 1 else below.keys
+        keys = mixed(parents[left] * np.uint64(0x9E3779B97F4A7C15) + mixed(self.words[word] ^ np.uint64(n)))
+        right = np.empty(len(code), np.int64)
+        right[at] = below.at[there]
+        self.orders.append(Grams(full, keys, left, right, self.trained))
+
+    def open(self) -> np.ndarray:
+        """Places of the last order's n-grams that other blocks could have too, in the order of their keys."""
+        top = self.orders[-1]
+        if len(self.orders) == 1:
+            asked = np.arange(len(top.keys))
+        else:
+            seen = self.orders[-2].elsewhere
+            asked = np.flatnonzero(np.append(seen, True)[top.left] & seen[top.right])  # the begin of a text is in every block
+        return asked[np.argsort(top.keys[asked], kind="stable")]
+
+    def answered(self, answers: np.ndarray) -> None:
+        """Takes the answers for open(): twice the count, and one if more than one block asked."""
+        top, asked = self.orders[-1], self.open()
+        top.count[asked] = answers >> 1
+        top.elsewhere = np.zeros(len(top.keys), bool)
+        top.elsewhere[asked] = answers & 1
 
 
 class Automaton:
-    """The states and arcs that a block's texts can reach. State w is the context of word w, the last one that of a text's begin."""
-
-    def __init__(self, block: Block, counts: np.ndarray, texts: int, total: int, distinct: int, prior: float):
-        self.word_count = counts[block.word_place]
-        p = (self.word_count + 0.5) / (total + 0.5 * (distinct + 1))
-        self.root_arc = np.log10(p)
-        context = np.append(self.word_count, texts).astype(float)
-        self.fail_weight = np.log10(prior / (context + prior))
-        pair_count = counts[block.pair_place]
-        state, word = np.empty(len(block.pair_keys), np.int64), np.empty(len(block.pair_keys), np.int64)
-        state[block.pair], word[block.pair] = block.states, block.tokens
-        #: NaN where a state has no arc for the word.
-        self.arc = np.where(pair_count > 0, np.log10((pair_count + prior * p[word]) / (context[state] + prior)), np.nan)
+    """The states and arcs that a block's texts can reach."""
+
+    def __init__(self, block: Block, texts: int, total: int, distinct: int, priors: Sequence[float]):
+        words = block.orders[0]
+        p = (words.count + 0.5) / (total + 0.5 * (distinct + 1))
+        #: By order: weights of the arcs, of the failure arcs of the states that they leave, and whether the arcs exist.
+        self.arcs, self.failures, self.exists = [np.log10(p)], [np.zeros(len(p))], [np.ones(len(p), bool)]
+        for n, prior in enumerate(priors[: len(block.orders) - 1], 1):
+            grams, below = block.orders[n], block.orders[n - 1]
+            context = (np.append(below.count, texts) if n == 1 else below.count)[grams.left].astype(float)
+            p = (grams.count + prior * p[grams.right]) / (context + prior)
+            self.arcs.append(np.log10(p))
+            self.failures.append(np.log10(prior / (context + prior)))
+            self.exists.append(grams.count > 0)
 
     def traverse(self, block: Block) -> np.ndarray:
-        """Weight of each step of the texts, left to right: the arc of the state that the last word led to, or else its failure arc and the root's."""
-        arc = self.arc[block.pair]
-        return np.where(np.isnan(arc), self.fail_weight[block.states] + self.root_arc[block.tokens], arc)
+        """The weight of each step, texts read left to right, all at once.
 
+        A step starts in the state of the longest context and takes its arc for the word; while there is none it takes
+        failure arcs, to the root at last. Every context is the end of the text so far, so the state needs no search.
+        """
+        steps = self.arcs[0][block.tokens]
+        for n in range(1, len(self.arcs)):
+            at = block.orders[n].at
+            there = np.flatnonzero(at >= 0)
+            g = at[there]
+            steps[there] = np.where(self.exists[n][g], self.arcs[n][g], steps[there] + self.failures[n][g])
+        return steps
 
-def score(docs: DataFrame, learn: Column, prior: float = PRIOR, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """doc_id, trained, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text, ...).
 
-    ``learn`` says which rows the model learns from. base_score adds up the root's arcs alone, score the automaton's; both
-    are log10 probabilities of the text and its end. A null text is empty: one token, its end. Rows without doc_id and
-    repeated rows are kept and count each time. If nothing is learned from, all words are unknown. An empty table gives
-    an empty result. Other columns aren't read.
+def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of equal ranges of the hash each key falls in; sorted keys give sorted ranges."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
 
-    Three passes: blocks are written; their n-gram counts go through a shuffle by hash range and the sums come back by
-    block; blocks are scored. A word or pair with any share of all tokens is one count in each block.
-    """
-    spark = docs.sparkSession
-    ranges = width(spark)
-    packed = written(blocks(docs, learn, block_tokens), "blocks")
+def _answer_file(folder: str, order: int, block: int) -> str:
+    return f"{folder}/counts-{order}/{block:016x}"
+
+
+def _rebuilt(row: dict, folder: str, orders: int) -> Block:
+    """A block with the counts of its first orders."""
+    from pyarrow import fs
+
+    b = Block(row)
+    for n in range(1, orders + 1):
+        if n > 1:
+            b.extend()
+        store, name = fs.FileSystem.from_uri(_answer_file(folder, n, row["block"]))
+        data = b""
+        if store.get_file_info(name).type == fs.FileType.File:
+            with store.open_input_stream(name, compression=None) as f:
+                data = zlib.decompress(f.read())
+        b.answered(np.frombuffer(data, np.int64 if data[:1] == b"\1" else np.uint32, offset=1).astype(np.int64) if data else np.zeros(0, np.int64))
+    return b
+
+
+def _count_order(packed: DataFrame, folder: str, order: int, ranges: int) -> DataFrame:
+    """Counts the n-grams of one order and leaves each block's answers in a file; returns total, distinct of each block's part."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row)
-                counts = b.counts().astype(np.uint32)
-                own = _range(b.keys, ranges)
-                cuts = np.searchsorted(own, np.arange(ranges + 1))
+                b = _rebuilt(row, folder, order - 1) if order > 1 else Block(row)
+                if order > 1:
+                    b.extend()
+                top, asked = b.orders[-1], b.open()
+                keys, own = top.keys[asked], top.own[asked].astype(np.uint32)
+                cuts = np.searchsorted(_range(keys, ranges), np.arange(ranges + 1))
                 for k in range(ranges):
                     x, y = cuts[k], cuts[k + 1]
                     if y > x:
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([row["block"]]), pa.array([b.keys[x:y].tobytes()], pa.binary()), pa.array([counts[x:y].tobytes()], pa.binary())], ["range", "block", "keys", "counts"])
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([row["block"]]), pa.array([keys[x:y].tobytes()], pa.binary()), pa.array([own[x:y].tobytes()], pa.binary())], ["range", "block", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
         n = np.array([len(x.as_buffer()) // 8 for x in table.column("keys")])
@@ -153,41 +227,70 @@ def score(docs: DataFrame, learn: Column, prior: float = PRIOR, block_tokens: in
         every, inverse = np.unique(keys, return_inverse=True)
         sums = np.zeros(len(every), np.int64)
         np.add.at(sums, inverse, counts)
-        word = (every & ONE) == 0
-        back, cuts = sums[inverse], np.cumsum(n)
-        sent = [x.astype(np.int64).tobytes() for x in np.split(back, cuts[:-1])]
+        answers = sums << 1 | (np.bincount(inverse) > 1)
+        sent = [x.tobytes() for x in np.split(answers[inverse], np.cumsum(n)[:-1])]
         totals = [0] * len(n), [0] * len(n)
-        totals[0][0], totals[1][0] = int(sums[word].sum()), int((sums[word] > 0).sum())  # a range's totals go with its first row
+        totals[0][0], totals[1][0] = int(sums.sum()), int((sums > 0).sum())  # a range's totals go with its first row
         return pa.table({"range": table.column("range"), "block": table.column("block"), "sums": pa.array(sent, pa.binary()), "total": pa.array(totals[0], pa.int64()), "distinct": pa.array(totals[1], pa.int64())})
 
+    def store(table: pa.Table) -> pa.Table:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        rows = sorted(table.to_pylist(), key=lambda r: r["range"])
+        sums = np.concatenate([np.frombuffer(r["sums"], np.int64) for r in rows])
+        small = not len(sums) or sums.max() < 1 << 32  # nearly always: half the size
+        place, name = fs.FileSystem.from_uri(_answer_file(folder, order, rows[0]["block"]))
+        place.create_dir(name.rpartition("/")[0], recursive=True)
+        temporary = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
+        with place.open_output_stream(temporary, compression=None) as f:
+            f.write(zlib.compress((b"\0" + sums.astype(np.uint32).tobytes()) if small else (b"\1" + sums.tobytes()), 1))
+        place.move(temporary, name)
+        return pa.table({"total": pa.array([sum(r["total"] for r in rows)], pa.int64()), "distinct": pa.array([sum(r["distinct"] for r in rows)], pa.int64())})
+
     asked = packed.mapInArrow(ask, "range int, block long, keys binary, counts binary")
-    answers = written(asked.groupBy("range").applyInArrow(answer, "range int, block long, sums binary, total long, distinct long"), "answers")
-    total, distinct = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    texts = docs.filter(learn).count()
+    answers = asked.groupBy("range").applyInArrow(answer, "range int, block long, sums binary, total long, distinct long")
+    return written(answers.groupBy("block").applyInArrow(store, "total long, distinct long"), f"totals-{order}")
 
-    def rate(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list = [[] for _ in range(7)]
-        parts = sorted(right.select(["range", "sums"]).to_pylist(), key=lambda r: r["range"])
-        counts = np.concatenate([np.frombuffer(r["sums"], np.int64) for r in parts]) if parts else np.zeros(0, np.int64)
-        for row in left.to_pylist():
-            b = Block(row)
-            a = Automaton(b, counts, texts, total, distinct, prior)
-            out[0] += [None if x else int(d) for d, x in zip(b.doc_ids, b.no_id, strict=True)]
-            out[1] += b.train.tolist()
-            out[2] += b.lengths.tolist()
-            out[3] += np.add.reduceat((a.word_count > 0)[b.tokens].astype(np.int64), b.starts).tolist()
-            out[4] += [total] * len(b.lengths)
-            out[5] += np.add.reduceat(a.root_arc[b.tokens], b.starts).tolist()
-            out[6] += np.add.reduceat(a.traverse(b), b.starts).tolist()
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
+SCORED = "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Which of equal ranges of the hash each key falls in; sorted keys give sorted ranges."""
-    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+def score(docs: DataFrame, learn: Column, priors: Sequence[float] = PRIORS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """doc_id, trained, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text, ...).
+
+    ``learn`` says which rows the model learns from; ``priors`` are those of pairs, triples and so on, so their number sets
+    the order. base_score adds up the root's arcs alone, score the automaton's; both are log10 probabilities of the text
+    and its end. A null text is empty: one token, its end. Rows without doc_id and repeated rows are kept and count each
+    time. If nothing is learned from, all words are unknown. An empty table gives an empty result. Other columns aren't
+    read.
+
+    Blocks are written once and never move; only counts are shuffled, by hash range and back by block. A word or n-gram
+    with any share of all tokens is one count in each block.
+    """
+    spark = docs.sparkSession
+    ranges, folder = width(spark), new_folder(spark, "lm")
+    packed = written(blocks(docs, learn, block_tokens), "blocks")
+    texts = docs.filter(learn).count()
+    total, distinct = _count_order(packed, folder, 1, ranges).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    for order in range(2, len(priors) + 2):
+        _count_order(packed, folder, order, ranges)
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in SCORED.split(", ")]
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = _rebuilt(row, folder, len(priors) + 1)
+                a = Automaton(b, texts, total, distinct, priors)
+                add = lambda x, b=b: pa.array(np.add.reduceat(x, b.starts))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(b.doc_ids, mask=b.no_id), pa.array(b.train), pa.array(b.lengths), add((b.orders[0].count > 0)[b.tokens].astype(np.int64)),
+                        pa.array(np.full(len(b.lengths), total, np.int64)), add(a.arcs[0][b.tokens]), add(a.traverse(b)),
+                    ], names,
+                )
+
+    return packed.mapInArrow(rate, SCORED)
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

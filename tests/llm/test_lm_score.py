@@ -10,15 +10,16 @@ from linkloom.llm import lm_score as S
 
 from .conftest import words
 
-LEARN = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 1, F.lit(True))
+def learn():
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 1, F.lit(True))
 
 
 def by_hand(rows, priors):
     seqs = [[w.lower() for w in (t or "").encode().split()] + [None] for _, t in rows]
-    learn = [d is None or zlib.crc32(str(d).encode()) % 5 != 1 for d, _ in rows]
+    used = [d is None or zlib.crc32(str(d).encode()) % 5 != 1 for d, _ in rows]
     n = Counter()  # of windows of 1 to len(priors) + 1 tokens, the begin being one that only starts them
-    texts = sum(learn)
-    for s, use in zip(seqs, learn, strict=True):
+    texts = sum(used)
+    for s, use in zip(seqs, used, strict=True):
         if use:
             full = [b" begin", *s]
             for k in range(1, len(priors) + 2):
@@ -34,7 +35,7 @@ def by_hand(rows, priors):
         return (n[(*context, w)] + prior * p(context[1:], w)) / (n[context] + prior)
 
     out = []
-    for (d, _), s, use in zip(rows, seqs, learn, strict=True):
+    for (d, _), s, use in zip(rows, seqs, used, strict=True):
         full = [b" begin", *s]
         score = sum(math.log10(p(tuple(full[max(0, i - len(priors)) : i]), full[i])) for i in range(1, len(full)))
         out.append((d, use, len(s), sum(one.get(w, 0) > 0 for w in s), total, round(sum(math.log10(p((), w)) for w in s), 5), round(score, 5)))
@@ -42,7 +43,7 @@ def by_hand(rows, priors):
 
 
 def run(df, **how):
-    return sorted(((*tuple(r)[:5], round(r["base_score"], 5), round(r["score"], 5)) for r in S.score(df, LEARN, **how).collect()), key=repr)
+    return sorted(((*tuple(r)[:5], round(r["base_score"], 5), round(r["score"], 5)) for r in S.score(df, learn(), **how).collect()), key=repr)
 
 
 @pytest.mark.parametrize("block", [1, 50, 10**6])
@@ -71,8 +72,7 @@ def test_empty_and_untrained(empty, docs_of):
 def test_probabilities_after_a_word_sum_to_one(docs_of):
     """The model's words and one unknown, after a known word."""
     rows = [(0, "a b a c a b", "en", "s", 0), (2, "b a", "en", "s", 0)] + [(100 + k, f"a {w}", "en", "s", 0) for k, w in enumerate(["a", "b", "c", "unknown"])]
-    learn = F.col("doc_id") < 100
-    got = {r["doc_id"]: r["score"] for r in S.score(docs_of(rows), learn, priors=(2.0,)).collect()}
+    got = {r["doc_id"]: r["score"] for r in S.score(docs_of(rows), F.col("doc_id") < 100, priors=(2.0,)).collect()}
     # the share of each continuation of "a", from scores of "a w <end>" with known counts
     one, two = Counter("abacab") + Counter("ba") + Counter({"<e>": 2}), Counter({("a", "b"): 2, ("a", "c"): 1, ("a", "<e>"): 1, ("b", "a"): 2, ("b", "<e>"): 1, ("c", "a"): 1, ("<b>", "a"): 1, ("<b>", "b"): 1})
     total, distinct = sum(one.values()), len(one)
