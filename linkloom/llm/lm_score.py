@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import WordHashes, lower_words, mixed, new_folder, width, word_hashes, worker_cache, written
 
 PRIORS = (300.0, 10.0)  # of pairs, of triples
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 400_000
 #: Tokens with white space, which no word has.
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end", b" begin"))
 RARE = 0xFFFF
@@ -105,26 +105,26 @@ class Block:
         self.tokens[self.tokens == RARE] = np.frombuffer(row["rare"], np.uint32)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.trained = np.repeat(self.train, self.lengths)
-        self.before = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lengths)  # tokens before each in its text
         none = np.zeros(len(self.words), np.int64)
         self.orders = [Grams(self.tokens, mixed(self.words), none, none, self.trained)]
 
     def extend(self) -> None:
         """Builds the next order. A text's begin is a word that only contexts have, numbered after the others."""
         below, n, begin = self.orders[-1], len(self.orders), len(self.words)
-        previous = np.roll(below.at, 1)
+        previous = np.roll(below.at, 1).astype(np.int64)
         if n == 1:
             previous[self.starts] = begin
         else:
-            previous[self.before == 0] = -1
+            previous[self.starts] = -1
         there = np.flatnonzero(previous >= 0)
         code, at = np.unique(previous[there] * np.int64(begin + 1) + self.tokens[there], return_inverse=True)
-        full = np.full(len(self.tokens), -1, np.int64)
+        at = at.astype(np.int32)
+        full = np.full(len(self.tokens), -1, np.int32)
         full[there] = at
-        left, word = code // (begin + 1), code % (begin + 1)
+        left, word = (code // (begin + 1)).astype(np.int32), (code % (begin + 1)).astype(np.int32)
         parents = np.append(below.keys, mixed(np.array([BEGIN]))) if n == 1 else below.keys
         keys = mixed(parents[left] * np.uint64(0x9E3779B97F4A7C15) + mixed(self.words[word] ^ np.uint64(n)))
-        right = np.empty(len(code), np.int64)
+        right = np.empty(len(code), np.int32)
         right[at] = below.at[there]
         self.orders.append(Grams(full, keys, left, right, self.trained))
 
@@ -177,6 +177,15 @@ class Automaton:
         return steps
 
 
+def planes(x: np.ndarray) -> bytes:
+    """64-bit numbers as all their lowest bytes, then all their second bytes, and so on: small numbers then compress well."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplanes(data) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Which of equal ranges of the hash each key falls in; sorted keys give sorted ranges."""
     return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
@@ -199,7 +208,7 @@ def _rebuilt(row: dict, folder: str, orders: int) -> Block:
         if store.get_file_info(name).type == fs.FileType.File:
             with store.open_input_stream(name, compression=None) as f:
                 data = zlib.decompress(f.read())
-        b.answered(np.frombuffer(data, np.int64 if data[:1] == b"\1" else np.uint32, offset=1).astype(np.int64) if data else np.zeros(0, np.int64))
+        b.answered(unplanes(data).astype(np.int64))
     return b
 
 
@@ -213,22 +222,22 @@ def _count_order(packed: DataFrame, folder: str, order: int, ranges: int) -> Dat
                 if order > 1:
                     b.extend()
                 top, asked = b.orders[-1], b.open()
-                keys, own = top.keys[asked], top.own[asked].astype(np.uint32)
+                keys, own = top.keys[asked], top.own[asked]
                 cuts = np.searchsorted(_range(keys, ranges), np.arange(ranges + 1))
                 for k in range(ranges):
                     x, y = cuts[k], cuts[k + 1]
                     if y > x:
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([row["block"]]), pa.array([keys[x:y].tobytes()], pa.binary()), pa.array([own[x:y].tobytes()], pa.binary())], ["range", "block", "keys", "counts"])
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([row["block"]]), pa.array([planes(np.diff(keys[x:y], prepend=np.uint64(0)))], pa.binary()), pa.array([planes(own[x:y])], pa.binary())], ["range", "block", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
         n = np.array([len(x.as_buffer()) // 8 for x in table.column("keys")])
-        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")])
+        keys = np.concatenate([np.cumsum(unplanes(x.as_buffer()), dtype=np.uint64) for x in table.column("keys")])
+        counts = np.concatenate([unplanes(x.as_buffer()) for x in table.column("counts")]).astype(np.int64)
         every, inverse = np.unique(keys, return_inverse=True)
         sums = np.zeros(len(every), np.int64)
         np.add.at(sums, inverse, counts)
         answers = sums << 1 | (np.bincount(inverse) > 1)
-        sent = [x.tobytes() for x in np.split(answers[inverse], np.cumsum(n)[:-1])]
+        sent = [planes(x) for x in np.split(answers[inverse], np.cumsum(n)[:-1])]
         totals = [0] * len(n), [0] * len(n)
         totals[0][0], totals[1][0] = int(sums.sum()), int((sums > 0).sum())  # a range's totals go with its first row
         return pa.table({"range": table.column("range"), "block": table.column("block"), "sums": pa.array(sent, pa.binary()), "total": pa.array(totals[0], pa.int64()), "distinct": pa.array(totals[1], pa.int64())})
@@ -238,13 +247,12 @@ def _count_order(packed: DataFrame, folder: str, order: int, ranges: int) -> Dat
         from pyspark import TaskContext
 
         rows = sorted(table.to_pylist(), key=lambda r: r["range"])
-        sums = np.concatenate([np.frombuffer(r["sums"], np.int64) for r in rows])
-        small = not len(sums) or sums.max() < 1 << 32  # nearly always: half the size
+        answers = np.concatenate([unplanes(r["sums"]) for r in rows])
         place, name = fs.FileSystem.from_uri(_answer_file(folder, order, rows[0]["block"]))
         place.create_dir(name.rpartition("/")[0], recursive=True)
         temporary = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
         with place.open_output_stream(temporary, compression=None) as f:
-            f.write(zlib.compress((b"\0" + sums.astype(np.uint32).tobytes()) if small else (b"\1" + sums.tobytes()), 1))
+            f.write(zlib.compress(planes(answers), 1))
         place.move(temporary, name)
         return pa.table({"total": pa.array([sum(r["total"] for r in rows)], pa.int64()), "distinct": pa.array([sum(r["distinct"] for r in rows)], pa.int64())})
 
