@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import worker_cache
+from .shared import by_size, worker_cache
 
 WORD = re.compile(r"[^\W\d_]+")
 # First code points of ranges, and their scripts.
@@ -41,8 +41,8 @@ MOST_WORDS = 200_000  # remembered by a worker
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters in lower case; null: none."""
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters in lower case, with signs like raised digits only beside a letter; null: none."""
+    return [w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
 
 
 def script_of(word: str) -> int:
@@ -212,17 +212,6 @@ def _labeller(broadcast: Broadcast, uid: str, penalty: float) -> Labeller:
     return cache["langid"]
 
 
-def _runs(texts: list[str | None], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 SPANS = "array<struct<first_word: int, end_word: int, lang: string>>"
 
 
@@ -244,7 +233,7 @@ def identify(docs: DataFrame, model: dict, penalty: float = PENALTY) -> DataFram
         labeller = _labeller(sent, uid, penalty)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            for a, b in _runs(texts):
+            for a, b in by_size(texts, 2 << 20):
                 got = labeller.label(texts[a:b])
                 spans = pa.array([[{"first_word": x, "end_word": y, "lang": z} for x, y, z in g[2]] for g in got], kind)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), spans], names)

@@ -7,6 +7,7 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -33,16 +34,22 @@ def _forget(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+#: Folders that this session has made.
+MADE: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Deletes a folder through Spark's own file systems, so that it works in any store."""
+def clean(spark: SparkSession) -> None:
+    """Deletes all folders that this session has made, once no result is read any more. Works in any store that Spark knows."""
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    while MADE:
+        at = jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -63,6 +70,18 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_linkloom_worker_cache", types.ModuleType("_linkloom_worker_cache")).__dict__
 
 
+def by_size(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of texts, as (begin, end), of about so many characters."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most:
+            yield begin, i + 1
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 class WordHashes(dict):
     """Word (bytes) to its 64-bit hash. Emptied now and then, so that it stays small; the values don't depend on that."""
 

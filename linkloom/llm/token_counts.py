@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_folder, worker_cache, written
-from .token_records import by_size
+from .shared import by_size, new_folder, worker_cache, written
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
 

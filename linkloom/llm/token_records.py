@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_folder, width, worker_cache, written
+from .shared import by_size, new_folder, width, worker_cache, written
 
 HEAD, BODY, CRC = "<QI", "<qIB", "<I"
 HEAD_SIZE, BODY_SIZE, CRC_SIZE = map(struct.calcsize, (HEAD, BODY, CRC))
@@ -169,18 +169,6 @@ def encoder(path: str) -> WordEncoder:
     return cache["word-encoder", path]
 
 
-def by_size(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about so many characters."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 MANIFEST = "shard int, file string, n_records long, n_tokens long, n_bytes long"
 
 

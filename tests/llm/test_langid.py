@@ -37,7 +37,7 @@ def test_spans(model):
     n = [len(L.words(x)) for x in (ENGLISH, FRENCH)]
     assert abs(spans[1][0] - n[0]) <= 2 and abs(spans[1][1] - sum(n)) <= 2
     assert lab.label([RUSSIAN])[0][:2] == ("ru", 1.0)
-    assert lab.label(["123 --- !!", "", None]) == [("und", 0.0, [])] * 3
+    assert lab.label(["123 --- !!", "", None, "² ³½"]) == [("und", 0.0, [])] * 4
     assert lab.label(["漢字"])[0][0] in model["langs"]  # a script that no language has
 
 
