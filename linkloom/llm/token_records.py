@@ -99,7 +99,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
-        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode().lower() for t in self.tok.get_added_tokens_decoder().values()]
         #: The byte-level alphabet: a byte that prints stands for itself, the others for characters from 256 on.
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.table = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
@@ -135,11 +135,11 @@ class WordEncoder:
             self.clear()
         known, docs = len(self.seen), []
         for text in texts:
-            data = (text or "").encode("utf-8", "surrogatepass")
-            if any(s in data for s in self.special) or any(s in data.lower() for s in self.special):
+            data = (text or "").encode("utf-8", "surrogatepass").lower()
+            if any(s in data for s in self.special):
                 docs.append(None)
             else:
-                words = self.STOP.sub(rb" \1", data.lower()).split()
+                words = self.STOP.sub(rb" \1", data).split()
                 docs.append(np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words)))
         if len(self.seen) > known:
             self.learn(list(islice(self.seen, known, None)))
