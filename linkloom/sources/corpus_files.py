@@ -54,7 +54,7 @@ def rank_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def url_lines(spark: SparkSession, path: str, blank: bool = True) -> DataFrame:
     """url: one a line, without a last carriage return. Lines may be of any length and hold commas, tabs and quotes."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("url"))
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r\\z", "").alias("url"))
     return lines if blank else lines.filter("url <> ''")
 
 
