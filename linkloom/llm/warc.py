@@ -263,9 +263,11 @@ def _numbered(rows: list[tuple], k: int, pos: int) -> pa.RecordBatch:
 def url_key(url: Column) -> Column:
     """Host labels in reverse order, then path and query, in lower case and without scheme, www, port 80/443 and fragment; '' for null."""
     url = F.lower(F.coalesce(url, F.lit("")))
-    host = F.regexp_replace(F.regexp_extract(url, r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?(?:www\.)?([^/?#]*)", 1), r":(?:80|443)?$", "")
+    host = F.regexp_extract(url, r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?(?:www\.)?([^/?#]*)", 1)
+    port = F.regexp_replace(F.regexp_extract(host, "(:[0-9]*)$", 1), "^:(?:80|443)?$", "")
+    host = F.regexp_replace(host, ":[0-9]*$", "")
     rest = F.regexp_extract(url, r"^(?:[a-z][a-z0-9+.-]*://)?[^/?#]*([^#]*)", 1)
-    return F.when(url == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.when(rest == "", "/").otherwise(rest)))
+    return F.when(url == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), port, F.lit(")"), F.when(rest == "", "/").otherwise(rest)))
 
 
 def write_archives(pages: DataFrame, stamp: Column, folder: str, smallest_revisit: int = SMALLEST_REVISIT) -> DataFrame:

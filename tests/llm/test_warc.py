@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from linkloom.llm import warc as W
 
 PAGES = "page_id long, url string, html string, digest string, copies int"
-STAMP = F.timestamp_seconds(F.lit(1_600_000_000) + F.coalesce(F.col("page_id"), F.lit(0)) % 7)
+def stamp():
+    return F.timestamp_seconds(F.lit(1_600_000_000) + F.coalesce(F.col("page_id"), F.lit(0)) % 7)
 
 
 def page_rows():
@@ -34,7 +35,7 @@ def by_hand(rows):
 
 
 def test_captures(spark):
-    got = W.capture_history(spark.createDataFrame(page_rows(), PAGES).repartition(5), STAMP)
+    got = W.capture_history(spark.createDataFrame(page_rows(), PAGES).repartition(5), stamp())
     rows = got.collect()
     assert sorted((tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in rows), key=repr) == by_hand(page_rows())
     rows.sort(key=lambda r: (r["index_range"], r["index_pos"]))
@@ -43,7 +44,7 @@ def test_captures(spark):
 
 
 def test_empty(spark):
-    assert W.capture_history(spark.createDataFrame([], PAGES), STAMP).count() == 0
+    assert W.capture_history(spark.createDataFrame([], PAGES), stamp()).count() == 0
 
 
 def test_url_key(spark):
