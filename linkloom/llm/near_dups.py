@@ -154,8 +154,9 @@ def likely_in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sketch(np.frombuffer(x.as_buffer(), "<u8")) for x in part.column(1)], pa.binary())], ["m", "sketch"])
 
     drawn = sets.join(members.select(F.col("m").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sketches, "m long, sketch binary")
-    sizes = members.groupBy("k").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    own = members.join(sizes, "k").withColumn("block", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
+    # Few buckets fill more than a block. Written, that table shows its size, so members move for this join only if it is large.
+    large = written(members.groupBy("k").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).filter("blocks > 1"), "large")
+    own = members.join(large, "k", "left").withColumn("block", F.pmod(F.xxhash64("m"), F.coalesce("blocks", F.lit(1))).cast("int"))
     shared = members.groupBy("m").agg(F.collect_set("k").alias("ks"))
     own = own.join(drawn, "m").join(shared, "m").withColumn("outside", F.col("of_m") != F.col("of_centre"))
     cells = own.groupBy("k", "block").agg(F.collect_list(F.struct("m", "of_m", "outside", "sketch", "ks")).alias("x"), F.max("outside").alias("some"))
