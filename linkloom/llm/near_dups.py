@@ -26,6 +26,8 @@ from .shared import PLACES, WordHashes, lower_words, mixed, ngram_hashes, worker
 SHINGLE = 5
 BINS, ROWS = 128, 4  # 32 bands: a pair at 0.75 shares none with a chance of 5e-6
 SIGMAS = 4.5
+PER_FILE = 8_000  # documents, whose rows of a thin table share a file
+EDGES_PER_FILE = 200_000
 SKETCH = 1024  # independent minimal hashes, a byte of each
 BLOCK = 250  # classes of a bucket in a block of step 5
 
@@ -140,7 +142,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def likely_in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+def likely_in_blocks(members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """Pairs (a, b) of members(k, m, of_m, of_centre) of a bucket k in different components whose sketches are alike.
 
     Of each pair at least one is outside the component of the bucket's centre. A bucket is dealt to blocks of about BLOCK
@@ -155,12 +157,12 @@ def likely_in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     drawn = sets.join(members.select(F.col("m").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sketches, "m long, sketch binary")
     # Few buckets fill more than a block. Written, that table shows its size, so members move for this join only if it is large.
-    large = written(members.groupBy("k").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).filter("blocks > 1"), "large")
+    large = written(members.groupBy("k").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).filter("blocks > 1"), "large", parts=parts)
     own = members.join(large, "k", "left").withColumn("block", F.pmod(F.xxhash64("m"), F.coalesce("blocks", F.lit(1))).cast("int"))
     shared = members.groupBy("m").agg(F.collect_set("k").alias("ks"))
     own = own.join(drawn, "m").join(shared, "m").withColumn("outside", F.col("of_m") != F.col("of_centre"))
     cells = own.groupBy("k", "block").agg(F.collect_list(F.struct("m", "of_m", "outside", "sketch", "ks")).alias("x"), F.max("outside").alias("some"))
-    cells = written(cells, "blocks")
+    cells = written(cells, "blocks", parts=parts)
     pairs = cells.filter("some").select("k", F.filter("x", lambda c: c["outside"]).alias("x")).join(cells.select("k", F.col("x").alias("y")), "k").select("k", "x", "y")
     enough = 0.75 + 0.25 / 256 - SIGMAS * np.sqrt(0.75 * 0.25 / SKETCH)
 
@@ -191,16 +193,16 @@ def components(edges: DataFrame) -> DataFrame:
     joins take plain tables, so that adaptive execution can split the edges of a hub.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, parts: int) -> DataFrame:
         big, small = F.greatest("a", "b"), F.least("a", "b")
         one = e.select(big.alias("u"), small.alias("v"))
         s = one.unionAll(one.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else one
-        low = written(s.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")), "low")
+        low = written(s.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")), "low", parts=parts)
         if large:
             out = s.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = s.join(low, "u").filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return written(out.distinct(), "star")
+        return written(out.distinct(), "star", parts=parts)
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64(F.greatest("a", "b"), F.least("a", "b")), F.lit(1 << 40))), F.lit(0))).first())
@@ -214,7 +216,8 @@ def components(edges: DataFrame) -> DataFrame:
         parents = edges.agg(F.count("*"), F.countDistinct(F.greatest("a", "b"))).first()
         if parents[0] == parents[1] and not edges.select(F.greatest("a", "b").alias("x")).join(edges.select(F.least("a", "b").alias("x")), "x", "left_semi").limit(1).count():
             return edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))  # stars already
-        edges = star(star(edges, True), False)
+        parts = 1 + now[0] // EDGES_PER_FILE
+        edges = star(star(edges, True, parts), False, parts)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -231,13 +234,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     base = written(signed(docs), "signed")
+    parts = 1 + base.count() // PER_FILE
+    thin = lambda df, name: written(df, name, parts=parts)
     named = base.filter("n > 0 and doc_id is not null")
-    classes = written(named.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "classes")
-    reps = written(named.join(classes, ["digest", "doc_id"], "left_semi").select("doc_id", "text_key", "n", "sig", "keys"), "reps")
+    classes = thin(named.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "classes")
+    reps = thin(named.join(classes, ["digest", "doc_id"], "left_semi").select("doc_id", "text_key", "n", "sig", "keys"), "reps")
 
     member = reps.select(F.explode("keys").alias("k"), F.col("doc_id").alias("m"))
-    stars = written(member.groupBy("k").agg(F.min("m").alias("centre"), F.max("m").alias("last")).filter("last > centre").select("k", "centre"), "centres")
-    buckets = written(member.join(stars, "k").select("k", "centre", "m"), "buckets")
+    stars = thin(member.groupBy("k").agg(F.min("m").alias("centre"), F.max("m").alias("last")).filter("last > centre").select("k", "centre"), "centres")
+    buckets = thin(member.join(stars, "k").select("k", "centre", "m"), "buckets")
 
     wanted = buckets.select(F.col("m").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
@@ -250,10 +255,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 part = batch.slice(k, 1000)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, words).astype("<u8").tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["doc_id", "shingles"])
 
-    sets = written(texts.mapInArrow(sets_of, "doc_id long, shingles binary"), "sets")
+    sets = thin(texts.mapInArrow(sets_of, "doc_id long, shingles binary"), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        return written(confirmed(written(pairs, "likely"), sets).distinct(), "edges")
+        return thin(confirmed(thin(pairs, "likely"), sets).distinct(), "edges")
 
     edges = confirm(likely(buckets.filter("m <> centre").select(F.col("centre").alias("a"), F.col("m").alias("b")).distinct(), reps))
     roots = components(edges)
@@ -261,15 +266,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_m = roots.select(F.col("node").alias("m"), F.col("root").alias("of_m"))
     of_centre = roots.select(F.col("node").alias("centre"), F.col("root").alias("of_centre"))
     rest = buckets.filter("m <> centre").join(of_m, "m", "left").join(of_centre, "centre", "left")
-    rest = written(rest.select("k", "m", F.coalesce("of_m", "m").alias("of_m"), F.coalesce("of_centre", "centre").alias("of_centre")), "rest")
+    rest = thin(rest.select("k", "m", F.coalesce("of_m", "m").alias("of_m"), F.coalesce("of_centre", "centre").alias("of_centre")), "rest")
     split = rest.groupBy("k").agg(F.min("of_m").alias("low"), F.max("of_m").alias("high")).filter("low <> high").select("k")
-    more = confirm(likely_in_blocks(written(rest.join(split, "k", "left_semi"), "split"), sets))
+    more = confirm(likely_in_blocks(thin(rest.join(split, "k", "left_semi"), "split"), sets, parts))
     if more.limit(1).count():
         # The stars found so far stand for their edges.
-        roots = components(written(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more), "edges"))
+        roots = components(thin(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more), "edges"))
 
     named_roots = roots.select(F.col("node").alias("doc_id"), F.col("root"))
-    found = written(classes.join(named_roots, "doc_id", "left").select("digest", F.coalesce("root", "doc_id").alias("root")), "roots")
+    found = thin(classes.join(named_roots, "doc_id", "left").select("digest", F.coalesce("root", "doc_id").alias("root")), "roots")
     out = base.select("doc_id", "n", "digest").join(found, "digest", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("root", "doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))

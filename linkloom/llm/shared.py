@@ -52,11 +52,14 @@ def clean(spark: SparkSession) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Writes a DataFrame as Parquet in the shared folder and reads it back: lineage ends there, on storage that outlives executors."""
+def written(df: DataFrame, name: str, path: str | None = None, parts: int | None = None) -> DataFrame:
+    """Writes a DataFrame as Parquet in the shared folder and reads it back: lineage ends there, on storage that outlives executors.
+
+    ``parts`` is the most files that a thin table is written to, so that many partitions don't leave as many small files.
+    """
     spark = df.sparkSession
     path = path or new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
