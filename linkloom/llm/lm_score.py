@@ -212,8 +212,8 @@ def _rebuilt(row: dict, folder: str, orders: int) -> Block:
     return b
 
 
-def _count_order(packed: DataFrame, folder: str, order: int, ranges: int) -> DataFrame:
-    """Counts the n-grams of one order and leaves each block's answers in a file; returns total, distinct of each block's part."""
+def _count_order(packed: DataFrame, folder: str, order: int, ranges: int) -> tuple[int, int]:
+    """Counts the n-grams of one order and leaves each block's answers in a file; returns how many there are, and how many distinct."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +258,8 @@ def _count_order(packed: DataFrame, folder: str, order: int, ranges: int) -> Dat
 
     asked = packed.mapInArrow(ask, "range int, block long, keys binary, counts binary")
     answers = asked.groupBy("range").applyInArrow(answer, "range int, block long, sums binary, total long, distinct long")
-    return written(answers.groupBy("block").applyInArrow(store, "total long, distinct long"), f"totals-{order}")
+    stored = answers.groupBy("block").applyInArrow(store, "total long, distinct long")
+    return tuple(stored.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first())
 
 
 SCORED = "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -280,7 +281,7 @@ def score(docs: DataFrame, learn: Column, priors: Sequence[float] = PRIORS, bloc
     ranges, folder = width(spark), new_folder(spark, "lm")
     packed = written(blocks(docs, learn, block_tokens), "blocks")
     texts = docs.filter(learn).count()
-    total, distinct = _count_order(packed, folder, 1, ranges).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    total, distinct = _count_order(packed, folder, 1, ranges)
     for order in range(2, len(priors) + 2):
         _count_order(packed, folder, order, ranges)
 
