@@ -212,7 +212,8 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(dealt.mapInArrow(write, MANIFEST), "manifest", f"{folder}/manifest")
+    shards = dealt.mapInArrow(write, MANIFEST).collect()  # a row for each shard
+    return written(spark.createDataFrame(shards, MANIFEST), "manifest", f"{folder}/manifest", parts=1)
 
 
 def read_records(manifest: DataFrame) -> DataFrame:
