@@ -314,7 +314,8 @@ def write_archives(pages: DataFrame, stamp: Column, folder: str, smallest_revisi
         store.move(f"{name}.{attempt}.run", f"{name}.arrow")
         yield pa.RecordBatch.from_pydict({"file": [f"{folder}/part-{shard:06d}.warc.gz"], "run": [f"{folder}/part-{shard:06d}.arrow"], "n_rows": [len(run)]})
 
-    return written(rows.mapInArrow(write, "file string, run string, n_rows long"), "archives", f"{folder}/archives")
+    archives = rows.mapInArrow(write, schema := "file string, run string, n_rows long").collect()  # a row for each archive
+    return written(pages.sparkSession.createDataFrame(archives, schema), "archives", f"{folder}/archives", parts=1)
 
 
 READ = "file string, offset long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
