@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .shared import by_size, new_folder, worker_cache, written
 
+PER_FILE = 20_000  # documents, whose counts share a file
 CACHE = "digest binary, tokenizer string, n_tokens long"
 
 
@@ -63,6 +64,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     texts = texts.select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
     keyed = written(texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
 
+    parts = 1 + keyed.count() // PER_FILE
+
     store = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
     if not store.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(store):
         spark.createDataFrame([], CACHE).write.parquet(cache)
@@ -79,10 +82,10 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     chosen = texts.join(misses.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     found = chosen.select("digest", "text").mapInArrow(encode, "digest binary, n_tokens long")
     # The same text under the same id twice is encoded twice, and gives one row here.
-    found.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    found.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").coalesce(parts).write.mode("append").parquet(cache)
     # Calls at the same time can both append a digest. Written out, its one row is a plain side of the join, so that
     # adaptive execution can split a digest with very many copies on the other side.
-    known = written(spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    known = written(spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts", parts=parts)
     return keyed.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
