@@ -166,7 +166,7 @@ class Items:
 
 
 def _items(broadcast: Broadcast, uid: str, min_match: int, threshold: float) -> Items:
-    cache = worker_cache()
+    cache = worker_cache("decontam")
     if cache.get("decontam-uid") != uid:
         cache["decontam-items"], cache["decontam-uid"] = Items(broadcast.value, min_match, threshold), uid
     return cache["decontam-items"]

@@ -206,7 +206,7 @@ class Labeller:
 
 
 def _labeller(broadcast: Broadcast, uid: str, penalty: float) -> Labeller:
-    cache = worker_cache()
+    cache = worker_cache("langid")
     if cache.get("langid-uid") != uid:
         cache["langid"], cache["langid-uid"] = Labeller(broadcast.value, penalty), uid
     return cache["langid"]

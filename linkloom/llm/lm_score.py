@@ -59,7 +59,7 @@ def blocks(docs: DataFrame, learn: Column, block_tokens: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache = worker_cache().setdefault("lm-words", WordHashes())
+        cache = worker_cache("lm").setdefault("lm-words", WordHashes())
         names = [x.split()[0] for x in BLOCK.split(", ")]
         first, n, rows, size = TaskContext.get().partitionId() << 32, 0, [], 0
         for batch in batches:

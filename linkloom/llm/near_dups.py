@@ -75,7 +75,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = 75) -> bool:
 
 
 def _cache() -> tuple[WordHashes, np.ndarray]:
-    cache = worker_cache()
+    cache = worker_cache("near-dups")
     if "near-dups" not in cache:
         cache["near-dups"] = WordHashes(), probes()
     return cache["near-dups"]

@@ -68,9 +68,12 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker, whatever task runs in it."""
-    return sys.modules.setdefault("_linkloom_worker_cache", types.ModuleType("_linkloom_worker_cache")).__dict__
+def worker_cache(owner: str) -> dict:
+    """A dict that lives as long as the Python worker runs tasks of one operator; the next operator's replaces it."""
+    own = sys.modules.setdefault("_linkloom_worker_cache", types.ModuleType("_linkloom_worker_cache")).__dict__
+    if own.get("owner") != owner:
+        own["owner"], own["held"] = owner, {}
+    return own["held"]
 
 
 def by_size(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:

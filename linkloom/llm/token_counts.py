@@ -27,7 +27,7 @@ def tokenizer_digest(path: str) -> str:
 
 def counter(path: str):
     """Texts to numbers of tokens."""
-    cache = worker_cache()
+    cache = worker_cache("token-counts")
     if ("token-counter", path) in cache:
         return cache["token-counter", path]
     if path.endswith(".model"):

@@ -163,7 +163,7 @@ def encoder(path: str) -> WordEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    cache = worker_cache()
+    cache = worker_cache("token-records")
     if ("word-encoder", path) not in cache:
         cache["word-encoder", path] = WordEncoder(path)
     return cache["word-encoder", path]
