@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, lower_words, mixed, new_folder, width, word_hashes, worker_cache, written
+from .shared import WordHashes, lower_words, mixed, new_folder, release, width, word_hashes, worker_cache, written
 
 PRIORS = (300.0, 10.0)  # of pairs, of triples
 BLOCK_TOKENS = 400_000
@@ -283,7 +283,9 @@ def score(docs: DataFrame, learn: Column, priors: Sequence[float] = PRIORS, bloc
     texts = docs.filter(learn).count()
     total, distinct = _count_order(packed, folder, 1, ranges)
     for order in range(2, len(priors) + 2):
+        release(spark)  # the last order's shuffles
         _count_order(packed, folder, order, ranges)
+    release(spark)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCORED.split(", ")]
