@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, lower_words, mixed, new_folder, release, width, word_hashes, worker_cache, written
+from .shared import WordHashes, lower_words, mixed, new_folder, width, word_hashes, worker_cache, written
 
 PRIORS = (300.0, 10.0)  # of pairs, of triples
 BLOCK_TOKENS = 400_000
@@ -259,7 +259,9 @@ def _count_order(packed: DataFrame, folder: str, order: int, ranges: int) -> tup
     asked = packed.mapInArrow(ask, "range int, block long, keys binary, counts binary")
     answers = asked.groupBy("range").applyInArrow(answer, "range int, block long, sums binary, total long, distinct long")
     stored = answers.groupBy("block").applyInArrow(store, "total long, distinct long")
-    return tuple(stored.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first())
+    # Written rather than collected: Spark deletes the shuffle files of a write once it is done.
+    totals = stored.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct"))
+    return tuple(written(totals, f"totals-{order}").first())
 
 
 SCORED = "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -283,9 +285,7 @@ def score(docs: DataFrame, learn: Column, priors: Sequence[float] = PRIORS, bloc
     texts = docs.filter(learn).count()
     total, distinct = _count_order(packed, folder, 1, ranges)
     for order in range(2, len(priors) + 2):
-        release(spark)  # the last order's shuffles
         _count_order(packed, folder, order, ranges)
-    release(spark)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCORED.split(", ")]

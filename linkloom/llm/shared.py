@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import sys
 import tempfile
 import types
@@ -64,12 +63,6 @@ def written(df: DataFrame, name: str, path: str | None = None, parts: int | None
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Has the driver collect its garbage: only then does Spark delete the shuffle files of jobs that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def width(spark: SparkSession) -> int:
     """The number of partitions that the session deals shuffles to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
