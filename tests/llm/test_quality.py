@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from linkloom.llm import quality as Q
@@ -83,3 +84,22 @@ def test_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet')")
     assert sorted(con.execute(f"select {', '.join(COLUMNS)} from ({Q.OP8_SQL})").fetchall(), key=repr) == sorted((tuple(r) for r in Q.op8_line_quality(spark, sf_dir).select(COLUMNS).collect()), key=repr)
+
+
+def test_sql_where_lines_are_removed(docs_of):
+    """With the production parameters: host a is bounded by 50 documents, host b of 3,000 by its share, 60; lines on the bounds stay."""
+    rng = random.Random(3)
+    held = {"a": {"long on a": 50, "long gone from a": 51, "1 menu of a": 120}, "b": {"stays on b": 60, "gone from b": 61, "footer 2026 of b": 900}}
+    rows = []
+    for host, n in (("a", 200), ("b", 3000), (None, 90)):
+        texts = [[words(rng, 52, 10**6)] for _ in range(n)]
+        for line, k in held.get(host, {"of no host": 70}).items():
+            for t in rng.sample(texts, k):
+                t.append(f"{line} " + "and so on " * (25 if "menu" in line else 1))
+        rows += [(len(rows) + i, "\n".join(t), "en", host, 0) for i, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([{"doc_id": r[0], "text": r[1], "source": r[3]} for r in rows]))
+    want = sorted(con.execute(f"select {', '.join(COLUMNS)} from ({Q.OP8_SQL})").fetchall(), key=repr)
+    got = run(docs_of(rows))
+    assert got == want == by_hand([(r[0], r[1], r[3]) for r in rows], 50, 0.02)
+    assert sum(r[7] > 0 for r in got) > 1000 and sum(not r[6] and not r[8] for r in got) > 100
