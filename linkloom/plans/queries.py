@@ -206,7 +206,7 @@ query("byte_entropy", lambda s, d: ngrams.entropies(ngrams.ngram_counts(pages(s,
 query("byte_histogram", lambda s, d: ngrams.ngram_counts(pages(s, d), "url", [0]).select(F.col("gram").alias("byte"), F.col("n").alias("count")), f"with {_grams_sql(range(1), 'pages')} select cast('0x' || g as bigint) as byte, c as count from n")
 query("ngram_entropy", lambda s, d: ngrams.entropies(ngrams.ngram_counts(pages(s, d), "url", range(5))), f"with {_grams_sql(range(5), 'pages')}, {ENTROPY_SQL}")
 query("ngram_distinct", lambda s, d: ngrams.distinct_ngrams(ngrams.ngram_counts(pages(s, d), "url", range(5))), f"with {_grams_sql(range(5), 'pages')} select k, count(*) as distinct_ngrams from n group by k")
-query("document_byte_entropy", lambda s, d: ngrams.entropies(ngrams.ngram_counts(s.read.parquet(f"{d}/documents.parquet"), "text", [0, 1])), f"with {_grams_sql(range(2), 'documents', text='text')}, {ENTROPY_SQL}")
+query("document_byte_entropy", lambda s, d: ngrams.entropies(ngrams.ngram_counts(s.read.parquet(f"{d}/documents.parquet"), "text", range(5))), f"with {_grams_sql(range(2), 'documents', text='text')}, {ENTROPY_SQL}")
 
 COMPONENT_SQL = f"""{U_SQL}, i as (select row_number() over () as id, * from u), p as (select id, unnest(string_split(url_query, '&')) as x from i where url_query is not null),
   q as (select id, url_decode(replace(split_part(x, '=', 1), '+', ' ')) as k, case when position('=' in x) > 0 then url_decode(replace(substr(x, position('=' in x) + 1), '+', ' ')) else '' end as v from p where x <> '' and position(';' in x) = 0),

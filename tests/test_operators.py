@@ -110,6 +110,16 @@ def test_entropies(spark):
         assert r[f"h{k}"] == pytest.approx(entropy_by_hand(data, k), abs=2e-6)
 
 
+def test_document_entropies_of_all_orders(spark, sf_dir):
+    from linkloom.plans.queries import QUERIES
+
+    data = [(r["text"] or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    r = QUERIES["document_byte_entropy"](spark, sf_dir).first()
+    assert r["bytes"] == sum(map(len, data))
+    for k in range(5):
+        assert r[f"h{k}"] == pytest.approx(entropy_by_hand(data, k), abs=2e-6) and r[f"h{k}"] > 0
+
+
 def test_ngrams_are_the_same_in_any_chunks(spark, monkeypatch):
     texts = [f"http://e.com/{k}" for k in range(200)]
     whole = sorted(map(tuple, ngrams.ngram_counts(urls(spark, texts), "url", [2]).collect()))
