@@ -2,8 +2,8 @@
 
 Pass 1 decides blocks that are long enough to judge, and those in containers that are never an article (menus, forms,
 adverts, reader comments). Pass 2 gives short and doubtful blocks the label of the nearest decided blocks in their region.
-A page that marks its article (article, main, role=main, or else a div named so) has that as its region, whose edges count as
-good; in other pages the body is the region and its edges count as bad.
+A page that marks its article (article, main, role=main, or else a div named so) has that as its region, in which all is good
+but link lists; in other pages the body is the region and its edges count as bad.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ STOP_WORDS = frozenset(
 
 BLOCKS = frozenset("address article aside blockquote body br caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li link main menu nav noframes noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()) - {"br"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXTS = HEADINGS | frozenset("p blockquote pre figcaption caption".split())
+LISTS = frozenset("li dt dd".split())
+#: What a head can hold; anything else ends it.
+HEADS = frozenset("base basefont bgsound html head link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noframes noscript template svg math canvas object audio video".split())
 NEVER = frozenset("nav footer aside form button select datalist dialog menu head".split()) | RAW
@@ -43,8 +47,8 @@ NEVER_ARTICLES = frozenset("ad ads advert advertisement comment comments promo r
 ARTICLE_NAMES = frozenset("article content entry main post story".split())
 
 TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+LETTER = re.compile(r"[^\W_]")
 NAME_PART = re.compile(r"[a-z0-9]+")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -54,12 +58,12 @@ GOOD, NEAR, BRIEF, BAD = "good", "near-good", "short", "bad"
 
 
 class Block:
-    """article: 2 in an element that marks the article, 1 in one with a name that does."""
+    """article: 2 in an element that marks the article, 1 in one with a name that does. kind: list, text or neither. only_links: several, and no letter beside them."""
 
-    __slots__ = ("text", "linked", "heading", "never", "article", "label")
+    __slots__ = ("text", "linked", "heading", "never", "article", "label", "kind", "only_links")
 
-    def __init__(self, text: str, linked: int, heading: bool, never: bool, article: int):
-        self.text, self.linked, self.heading, self.never, self.article, self.label = text, linked, heading, never, article, ""
+    def __init__(self, text: str, linked: int, heading: bool, never: bool, article: int, kind: str = "", only_links: bool = False):
+        self.text, self.linked, self.heading, self.never, self.article, self.label, self.kind, self.only_links = text, linked, heading, never, article, "", kind, only_links
 
 
 def _never(name: str, attributes: str, article: int) -> tuple[bool, int]:
@@ -70,6 +74,7 @@ def _never(name: str, attributes: str, article: int) -> tuple[bool, int]:
     if not attributes or name in ("html", "body"):
         return False, marks
     parts: set[str] = set()
+    hidden = False
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
         if key == "role":
@@ -82,9 +87,11 @@ def _never(name: str, attributes: str, article: int) -> tuple[bool, int]:
         elif key == "aria-hidden":
             if value == "true":
                 return True, marks
-        else:
+        elif key in ("class", "id"):
             parts.update(NAME_PART.findall(value))
-    if HIDDEN.search(attributes) and not marks:
+        elif key == "hidden":
+            hidden = True
+    if hidden and not marks:
         return True, marks
     if parts & (NEVER_ARTICLES if marks else NEVER_NAMES) or ("header" in parts and article < 2 and not marks):
         return True, marks
@@ -96,16 +103,29 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = []  # name, never, article
     parts: list[str] = []
-    linked = at = links = 0
+    linked = at = links = anchors = 0
+    loose = False  # a letter outside links
+
+    def kind() -> str:
+        """list in a list that the article holds; else text where the innermost block is made for it."""
+        inner = None
+        for name, _, _ in reversed(stack):
+            if name in LISTS:
+                return "list"
+            if name in ("article", "main"):
+                break
+            inner = inner or (name if name in BLOCKS else None)
+        return "text" if inner in TEXTS else ""
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, anchors, loose
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, linked, any(x[0] in HEADINGS for x in stack), *(stack[-1][1:] if stack else (False, 0))))
+                out.append(Block(text, linked, any(x[0] in HEADINGS for x in stack), *(stack[-1][1:] if stack else (False, 0)), kind() if linked else "", anchors > 1 and not loose))
             parts.clear()
-        linked = 0
+        linked = anchors = 0
+        loose = False
 
     find, length = TAG.search, len(html)
     while at < length:
@@ -115,9 +135,14 @@ def blocks(html: str) -> list[Block]:
             piece = html[at:end]
             if "&" in piece:
                 piece = unescape(piece)
+            if stack and stack[-1][0] == "head" and piece.strip():
+                flush()
+                stack.pop()
             parts.append(piece)
             if links:
                 linked += len(piece.strip())
+            elif not loose and LETTER.search(piece):
+                loose = True
         if not m:
             break
         at = m.end()
@@ -140,6 +165,9 @@ def blocks(html: str) -> list[Block]:
             if name == "a":
                 links = max(0, links - 1)
         else:
+            if stack and stack[-1][0] == "head" and name not in HEADS:
+                flush()
+                stack.pop()
             if name in RAW:
                 if name in BLOCKS:
                     flush()
@@ -163,6 +191,7 @@ def blocks(html: str) -> list[Block]:
                 continue
             if name == "a":
                 links = 1
+                anchors += 1
             never, article = stack[-1][1:] if stack else (False, 0)
             own, marks = (False, 0) if never or name in ("a", "b", "i", "em", "strong") else _never(name, attributes, article)
             stack.append((name, never or own, article if own or never else max(article, marks)))
@@ -170,28 +199,42 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
+def density_of(text: str) -> float:
+    words = NOT_LETTERS.sub(" ", text.lower()).split()
+    return sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+
+
+def link_list(b: Block) -> bool:
+    """Whether a block of a marked article, over half of it linked, is a list of links: a list's item, several links without a word between them, or a short block that isn't made for text."""
+    if b.kind == "list" or b.only_links:
+        return True
+    return b.kind != "text" and (len(b.text) < SHORT or density_of(b.text) < STOP_LOW)
+
+
 def judge(found: list[Block]) -> None:
-    """Labels blocks good or bad, in two passes."""
+    """Labels blocks good or bad, in two passes; of a marked article, all but link lists is good."""
     marked = max((b.article for b in found if not b.never), default=0)
+    if marked:
+        for b in found:
+            gone = b.never or b.article < marked or (b.linked > LINKS * len(b.text) and link_list(b))
+            b.label = BAD if gone else GOOD
+        return
     for b in found:
         n = len(b.text)
-        if b.never or b.article < marked or b.linked > LINKS * n:
+        if b.never or b.linked > LINKS * n:
             b.label = BAD
         elif n < SHORT:
             b.label = BRIEF
         else:
-            words = NOT_LETTERS.sub(" ", b.text.lower()).split()
-            density = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
-            b.label = (GOOD if n > LONG else NEAR) if density >= STOP_HIGH else NEAR if density >= STOP_LOW or marked else BAD
-    region = [b for b in found if b.article == marked and not b.never] if marked else found
-    edge = GOOD if marked else BAD
-    first = [b.label for b in region]
+            density = density_of(b.text)
+            b.label = (GOOD if n > LONG else NEAR) if density >= STOP_HIGH else NEAR if density >= STOP_LOW else BAD
+    first = [b.label for b in found]
 
     def nearest(labels: list[str], undecided: tuple[str, ...]) -> list[tuple[str, int, str, int]]:
         """For each block the nearest decided label before it and after it, and how many blocks away they are."""
         sides = []
         for run in (labels, labels[::-1]):
-            got, last, away = [], edge, 1
+            got, last, away = [], BAD, 1
             for x in run:
                 got.append((last, away))
                 last, away = (last, away + 1) if x in undecided else (x, 1)
@@ -205,10 +248,10 @@ def judge(found: list[Block]) -> None:
         return after if ahead < away or b.heading else BAD
 
     near = nearest(first, (BRIEF, NEAR))
-    second = [inherited(b, *d) if x == BRIEF else x for b, x, d in zip(region, first, near, strict=True)]
+    second = [inherited(b, *d) if x == BRIEF else x for b, x, d in zip(found, first, near, strict=True)]
     # Near-good blocks are bad only between bad ones.
     third = [x if x != NEAR else BAD if d[0] == d[2] == BAD else GOOD for x, d in zip(second, nearest(second, (NEAR,)), strict=True)]
-    for b, x in zip(region, third, strict=True):
+    for b, x in zip(found, third, strict=True):
         b.label = x
 
 

@@ -51,6 +51,33 @@ def test_link_lists_in_an_article_go():
     assert text(f'<article><p>{GOOD}</p><p><a href=a>One thing</a> <a href=b>another</a></p></article>') == GOOD
 
 
+@pytest.mark.parametrize("html, want", [
+    (f"<h1><a href=t>Title</a></h1><p>{GOOD}</p>", f"Title {GOOD}"),
+    (f"<p>{GOOD}</p><p><a href=a>All of it is a link</a></p><p>The end.</p>", f"{GOOD} All of it is a link The end."),
+    (f"<p>{GOOD}</p><p><a href=a>Smith</a> and <a href=b>Jones</a></p>", f"{GOOD} Smith and Jones"),
+    (f"<div><a href=a>{GOOD}</a></div>", GOOD),
+    (f"<h1>Title</h1><p><a href=a>One</a> | <a href=b>Two</a></p><p>Short.</p><ul><li><a href=c>Three</a></ul><p>The end.</p>", "Title Short. The end."),
+])
+def test_linked_text_in_an_article_stays(html, want):
+    assert text(f"<article>{html}</article>") == want
+    assert text(f"<ul><li><article>{html}</article></li></ul>") == want
+
+
+@pytest.mark.parametrize("after", ["<body><article>{}</article>", "<article>{}</article>", "<script>x</script>\n<main>{}", "<h1></h1><article>{}"])
+def test_head_without_its_end(after):
+    page = "<!DOCTYPE html><html><head><meta charset=utf-8><title>T</title><link rel=x>" + after.format(f"<p>{GOOD}</p>")
+    assert text(page) == GOOD
+    assert text("<head><title>T</title>" + GOOD) == GOOD
+
+
+@pytest.mark.parametrize("attributes, stays", [
+    ('title="the hidden cost"', True), ("title='a hidden'", True), ("data-a=hidden", True), ('data-role="navigation"', True), ("""title='class="ad"'""", True),
+    ("hidden", False), ("HIDDEN=''", False), ('class="a"hidden', False), ('hidden="until-found" title="x"', False), ("a = b hidden", False),
+])
+def test_attributes_count_by_name(attributes, stays):
+    assert text(f"<article><div {attributes}><p>{GOOD}</p></div><p>{OTHER}</p></article>") == (f"{GOOD} {OTHER}" if stays else OTHER)
+
+
 def test_very_long_and_deep():
     assert len(text("<article>" + f"<p>{GOOD}</p>" * 5000)) == 5000 * (len(GOOD) + 1) - 1
     assert text("<article>" + "<div>" * 3000 + "x") == "x"
