@@ -232,12 +232,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Of pairs that share one, signatures and sketches wrongly drop one in some hundred thousand at 75 %, next to none above 80 % (SIGMAS standard deviations).
     Copies cost one row each, near copies one edge for each bucket, of 32, and what step 5 finds outside the stars.
     """
-    spark = docs.sparkSession
+    return verdicts(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def verdicts(docs: DataFrame) -> DataFrame:
+    """near_duplicates with the text_key of each row, and first: whether it is one of those that stand for their class and the class for its component."""
     base = written(signed(docs), "signed")
     parts = 1 + base.count() // PER_FILE
     thin = lambda df, name: written(df, name, parts=parts)
     named = base.filter("n > 0 and doc_id is not null")
-    classes = thin(named.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "classes")
+    # The smallest doc_id of a class, if any row has one, and with it the smallest text_key.
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("x")
+    classes = thin(base.filter("n > 0").groupBy("digest").agg(smallest).select("digest", "x.doc_id", F.col("x.text_key").alias("first_key")), "classes")
     reps = thin(named.join(classes, ["digest", "doc_id"], "left_semi").select("doc_id", "text_key", "n", "sig", "keys"), "reps")
 
     member = reps.select(F.explode("keys").alias("k"), F.col("doc_id").alias("m"))
@@ -274,16 +280,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         roots = components(thin(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more), "edges"))
 
     named_roots = roots.select(F.col("node").alias("doc_id"), F.col("root"))
-    found = thin(classes.join(named_roots, "doc_id", "left").select("digest", F.coalesce("root", "doc_id").alias("root")), "roots")
-    out = base.select("doc_id", "n", "digest").join(found, "digest", "left")
+    found = thin(classes.join(named_roots, "doc_id", "left").select("digest", F.col("doc_id").alias("first_id"), "first_key", F.coalesce("root", "doc_id").alias("root")), "roots")
+    out = base.select("doc_id", "text_key", "n", "digest").join(found, "digest", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("root", "doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key")) & F.col("first_id").eqNullSafe(F.col("root"))
+    return out.select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), ((F.col("n") == 0) | first).alias("first"))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) with one document of each group of near copies, the one with the smallest doc_id."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs(doc_id, text, ...) with one document of each group of near copies, the one with the smallest doc_id.
+
+    Rows are judged by doc_id and text, and one row of each class of equal shingle sets stays at most. So of rows that
+    share a doc_id each stays or goes by its own text, and of repeated rows (same doc_id and text) one stays. Rows without
+    doc_id go if a row with one has the same set; else one of the class stays. Near copies that aren't of one class stay if
+    they have the same doc_id, as one document, or no doc_id, as those are linked with nothing. Rows without a word all stay.
+    """
+    found = written(verdicts(docs).filter("n_shingles > 0").groupBy("doc_id", "text_key", "first").agg(F.count("*").alias("rows")), "verdicts")
+    ids, key = docs["doc_id"].cast("long"), F.xxhash64(docs["text"])
+
+    def of(rows: DataFrame, verdict: DataFrame, how: str) -> DataFrame:
+        own = verdict.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+        return rows.join(own, ids.eqNullSafe(F.col("_id")) & (key == F.col("_key")), how)
+
+    again = found.filter("first and rows > 1")
+    if not again.limit(1).count():
+        return of(docs, found.filter("not first"), "left_anti")
+    once = of(docs, found.filter("not first or rows > 1"), "left_anti")
+    return once.unionByName(of(docs, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

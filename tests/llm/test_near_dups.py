@@ -96,6 +96,18 @@ def test_first_of_each(odd):
     assert 7 not in [r["doc_id"] for r in kept.collect()] and {1, 2, 3, 6} <= {r["doc_id"] for r in kept.collect()}
 
 
+def test_first_of_each_of_repeated_and_null_ids(docs_of):
+    rng = random.Random(8)
+    a, b, c, d, e, f = (words(rng, 40, 10**6) for _ in range(6))
+    near = a + " end"
+    rows = [(1, a), (2, a), (2, b), (3, near), (4, c), (4, c), (4, c.upper()), (None, c), (None, d), (None, d), (5, e), (5, e), (None, near), (6, ""), (6, ""), (None, None), (7, f)]
+    kept = [(1, a), (2, b), (None, d), (5, e), (6, ""), (6, ""), (None, None), (7, f)]
+    got = [(r["doc_id"], r["text"]) for r in N.first_of_each(docs_of([(k, t, "en", "s", 0) for k, t in rows])).collect()]
+    assert sorted((x for x in got if x[0] != 4), key=repr) == sorted(kept, key=repr)
+    assert [x[1].lower() for x in got if x[0] == 4] == [c]
+    assert len([x for x in N.first_of_each(docs_of([(k, t, "en", "s", 0) for k, t in [(1, a), (2, a), (2, b), (3, near)]])).collect()]) == 2
+
+
 def test_components(spark):
     rng = random.Random(9)
     for _ in range(3):
