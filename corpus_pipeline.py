@@ -12,14 +12,11 @@ from linkloom.llm.near_dups import first_of_each
 from linkloom.llm.shared import written
 from linkloom.llm.token_records import read_records, write_records
 
-#: A document stays if at least this share of its letters is in spans of one language.
-LEAST_SHARE = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the labels know; those without a letter or without a main language go."""
+    """Keeps documents in a language that the labels know; those without a letter go. A text in several known languages stays, whatever the share of each."""
     model = fit(docs.filter(~held_out(F.col("doc_id"))))
-    return identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    return identify(docs, model).filter(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,19 @@ def test_every_stage_against_brute_force(spark, folder):
     assert corpus_pipeline.run(spark, at).count() == len(tokens)
 
 
+def test_texts_in_three_languages_stay(docs_of):
+    rng = random.Random(7)
+    known = {**WORDS, "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei".split()}
+    text = lambda lang, n: " ".join(rng.choice(known[lang]) for _ in range(n))
+    rows = [(k, text(lang, 100), lang, "a", 0) for k, lang in enumerate(sorted(known) * 30)]
+    rows += [(500 + k, " ".join([text("en", 90), text("fr", 60), text("de", 60)]), None, "a", 0) for k in range(5)] + [(600, "1 2", None, "a", 0)]
+    docs = docs_of(rows)
+    found = langid.identify(docs, langid.fit(docs)).filter("doc_id between 500 and 504").collect()
+    assert all(r["score"] < 0.5 for r in found)
+    got = sorted(tuple(r) for r in corpus_pipeline.language(docs.sparkSession, docs, "").collect() if r["doc_id"] >= 500)
+    assert got == sorted(r for r in rows if 500 <= r[0] < 600)
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
