@@ -85,17 +85,17 @@ class Numbered(dict):
 def fit(labelled: DataFrame, rows_per_language: int = 5000) -> dict:
     """A model from labelled(doc_id, text, lang): for each language, how often its words hold each of BUCKETS n-grams.
 
-    About ``rows_per_language`` rows of each language are learned from, all if it has fewer: those whose hash of text falls
-    below a share. That bound holds whatever the table's size, so each task reads few texts and the driver gets BUCKETS
-    sums a language. Rows without text or lang are left out.
+    About ``rows_per_language`` distinct texts of each language are learned from, all if it has fewer: those whose hash falls
+    below a share. Copies of a text count once, so that bound holds whatever the table's size and however often a text is
+    copied, each task reads few texts and the driver gets BUCKETS sums a language. Rows without text or lang are left out.
     """
-    own = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
+    own = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("text").alias("key"))
+    counts = {r["lang"]: r["count"] for r in own.select("lang", "key").distinct().groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:
         return {"langs": [], "table": np.zeros((BUCKETS, 0), np.float32), "scripts": np.zeros((len(NAMES), 0), bool)}
     shares = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, rows_per_language / counts[k])))])
-    picked = own.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < shares[F.col("lang")] * (1 << 20))
+    picked = own.filter(F.pmod("key", F.lit(1 << 20)) < shares[F.col("lang")] * (1 << 20)).dropDuplicates(["lang", "key"]).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {k: np.zeros(BUCKETS + len(NAMES), np.int64) for k in langs}

@@ -80,3 +80,12 @@ def test_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
     held = [r for r in got if r["held_out"]]
     assert len(held) > 200 and sum(r["lang"] == r["lang_pred"] for r in held) >= 0.99 * len(held)
+
+
+def test_copies_are_learned_from_once(docs_of):
+    """A copied text is one text of the sample, so the model is that of the distinct texts."""
+    rows = [(k, f"one text number {'abcdefghij'[k % 10] * (1 + k // 10)} of many", "en", "a", 0) for k in range(60)] + [(100 + k, f"ein anderer text {'klmnopqrst'[k]}", "de", "a", 0) for k in range(10)]
+    copies = [(1000 + k, rows[0][1], "en", "b", 0) for k in range(500)]
+    for most in (5000, 20):
+        want, got = L.fit(docs_of(rows), most), L.fit(docs_of(rows + copies), most)
+        assert want["langs"] == got["langs"] and (want["table"] == got["table"]).all() and (want["scripts"] == got["scripts"]).all()
