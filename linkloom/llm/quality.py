@@ -55,13 +55,14 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return d.withColumn("n_repeat_words", F.when(F.size("_p") > 0, covered).otherwise(0).cast("long")).drop("_s", "_p")
 
 
-def quality(docs: DataFrame, host: str = "source", min_words: int = 50, min_docs: int = 50, share: float = 0.02, keep: float = 0.5) -> DataFrame:
+def quality(docs: DataFrame, host: str = "source", min_words: int = 50, min_docs: int = 3, share: float = 0.02, keep: float = 0.8) -> DataFrame:
     """doc_id, the base figures, base_failed, removed_words and kept for each row of docs(doc_id, text, source, ...).
 
     base_failed: fewer than ``min_words`` words, or more than half of them in repeated windows. A line is removed from a
-    host's documents if more distinct documents of that host hold it than ``min_docs`` and than ``share`` of its documents;
-    exact copies are one document here, as they are no sign of boilerplate. A document is depleted, and not kept, if fewer
-    than ``keep`` of its words remain.
+    host's documents if more than ``share`` of the host's distinct documents hold it. That is the same limit for hosts of
+    every size; as a share says nothing of a handful of documents, ``min_docs`` of them are never enough. Exact copies are
+    one document here, as they are no sign of boilerplate. A document is depleted, and not kept, if fewer than ``keep`` of
+    its words remain.
 
     Lines are counted by distinct (host, line, content), partly before the shuffle; frequent lines are joined back in
     SALTS copies, so that one line with a third of all rows is spread out; what is removed is summed by row. A null host
@@ -121,12 +122,12 @@ l as (
 z as (select source, count(distinct content) as docs from m group by source),
 f as (
   select l.source, l.k from l join z on l.source is not distinct from z.source
-  group by l.source, l.k, z.docs having count(distinct content) > 50 and count(distinct content) > z.docs * 0.02),
+  group by l.source, l.k, z.docs having count(distinct content) > 3 and count(distinct content) > z.docs * 0.02),
 x as (select l.rowid, sum(l.n) as gone from l join f on l.source is not distinct from f.source and l.k = f.k group by l.rowid),
 y as (
   select m.*, cast(coalesce(x.gone, 0) as bigint) as removed_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed
   from m left join x on m.rowid = x.rowid)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words,
-       not base_failed and n_words - removed_words >= n_words * 0.5 as kept
+       not base_failed and n_words - removed_words >= n_words * 0.8 as kept
 from y
 """
