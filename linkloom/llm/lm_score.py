@@ -12,8 +12,10 @@ so the backoff weight of h is prior / (c(h) + prior), and the probabilities of a
 No task holds the model. Texts are dealt to blocks. Order by order, a block asks for the counts of its own n-grams, the
 counts are summed by hash ranges over all blocks, and each block gets back those it asked for. It asks only for
 n-grams that other blocks can have as well, those whose shorter parts both are elsewhere; of others its own count is all. At last
-each block builds the part of the automaton that its texts can reach. So memory is bounded by a block and a hash range,
-however large the corpus and its vocabulary.
+each block builds the part of the automaton that its texts can reach, and walks it from left to right: the state is carried
+from word to word, along an arc or, while there is none, along failure arcs. There are as many hash ranges as the corpus has
+RANGE_TOKENS tokens, so a task holds a block or a range whatever the corpus and its vocabulary; an n-gram that every block
+asks for is one row a block.
 """
 
 from __future__ import annotations
@@ -31,11 +33,13 @@ from .shared import WordHashes, lower_words, mixed, new_folder, width, word_hash
 
 PRIORS = (300.0, 10.0)  # of pairs, of triples
 BLOCK_TOKENS = 400_000
+RANGE_TOKENS = 250_000  # tokens of the corpus a hash range: a block never asks for more n-grams of an order than it has tokens
+RANGES_A_TASK, BLOCKS_A_TASK = 4, 8
 #: Tokens with white space, which no word has.
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end", b" begin"))
 RARE = 0xFFFF
 
-BLOCK = "block long, doc_ids binary, no_id binary, train binary, lengths binary, words binary, tokens binary, rare binary"
+BLOCK = "block long, n_tokens long, doc_ids binary, no_id binary, train binary, lengths binary, words binary, tokens binary, rare binary"
 
 
 def _pack(block: int, rows: list[tuple[int | None, bool, np.ndarray]]) -> tuple:
@@ -48,7 +52,7 @@ def _pack(block: int, rows: list[tuple[int | None, bool, np.ndarray]]) -> tuple:
     tokens = place[inverse]
     ids = np.array([0 if r[0] is None else r[0] for r in rows], np.int64)
     return (
-        block, ids.tobytes(), np.array([r[0] is None for r in rows]).tobytes(), np.array([r[1] for r in rows]).tobytes(), np.array([len(r[2]) + 1 for r in rows], np.uint32).tobytes(),
+        block, len(flat), ids.tobytes(), np.array([r[0] is None for r in rows]).tobytes(), np.array([r[1] for r in rows]).tobytes(), np.array([len(r[2]) + 1 for r in rows], np.uint32).tobytes(),
         words[order].tobytes(), np.minimum(tokens, RARE).astype(np.uint16).tobytes(), tokens[tokens >= RARE].tobytes(),
     )
 
@@ -82,12 +86,13 @@ class Grams:
     """A block's distinct n-grams of one order.
 
     ``at``: the n-gram that ends at each token, -1 where the text's begin is too near. ``keys``: their hashes, equal in all
-    blocks. ``left``, ``right``: each one's n-gram of the order below without its last word, and without its first.
+    blocks. ``left``, ``right``: each one's n-gram of the order below without its last word, and without its first;
+    ``word``: its last word.
     ``own``: its count in the block's training texts; ``count``: in all of them.
     """
 
-    def __init__(self, at: np.ndarray, keys: np.ndarray, left: np.ndarray, right: np.ndarray, train: np.ndarray):
-        self.at, self.keys, self.left, self.right = at, keys, left, right
+    def __init__(self, at: np.ndarray, keys: np.ndarray, left: np.ndarray, right: np.ndarray, word: np.ndarray, train: np.ndarray):
+        self.at, self.keys, self.left, self.right, self.word = at, keys, left, right, word
         self.own = np.bincount(at[train & (at >= 0)], minlength=len(keys))
         self.count = self.own.copy()
         self.elsewhere = np.ones(len(keys), bool)  # whether other blocks have it
@@ -106,7 +111,7 @@ class Block:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.trained = np.repeat(self.train, self.lengths)
         none = np.zeros(len(self.words), np.int64)
-        self.orders = [Grams(self.tokens, mixed(self.words), none, none, self.trained)]
+        self.orders = [Grams(self.tokens, mixed(self.words), none, none, np.arange(len(self.words)), self.trained)]
 
     def extend(self) -> None:
         """Builds the next order. A text's begin is a word that only contexts have, numbered after the others."""
@@ -126,7 +131,7 @@ class Block:
         keys = mixed(parents[left] * np.uint64(0x9E3779B97F4A7C15) + mixed(self.words[word] ^ np.uint64(n)))
         right = np.empty(len(code), np.int32)
         right[at] = below.at[there]
-        self.orders.append(Grams(full, keys, left, right, self.trained))
+        self.orders.append(Grams(full, keys, left, right, word, self.trained))
 
     def open(self) -> np.ndarray:
         """Places of the last order's n-grams that other blocks could have too, in the order of their keys."""
@@ -147,34 +152,52 @@ class Block:
 
 
 class Automaton:
-    """The states and arcs that a block's texts can reach."""
+    """The states and arcs that a block's texts can reach.
+
+    State 0 is the root, with an arc for each of the block's words. Then come the words and the begin of a text as contexts,
+    then pairs of words, and so on, each in the block's numbering. A context that training doesn't have is no state: no arc
+    leads there. ``arcs`` finds an arc by state and word; an arc has a weight and a target, a state but the root a failure arc.
+    """
 
     def __init__(self, block: Block, texts: int, total: int, distinct: int, priors: Sequence[float]):
-        words = block.orders[0]
+        words, self.n_words = block.orders[0], len(block.words)
         p = (words.count + 0.5) / (total + 0.5 * (distinct + 1))
-        #: By order: weights of the arcs, of the failure arcs of the states that they leave, and whether the arcs exist.
-        self.arcs, self.failures, self.exists = [np.log10(p)], [np.zeros(len(p))], [np.ones(len(p), bool)]
+        self.root = np.log10(p)
+        known = words.count > 0
+        keys, weights, targets = [np.arange(self.n_words)], [self.root], [np.where(known, 1 + np.arange(self.n_words), 0) if len(priors) else np.zeros(self.n_words, np.int64)]
+        failures, costs = [np.zeros(1, np.int64)], [np.zeros(1)]
+        first = 1  # number of the first state of this order
         for n, prior in enumerate(priors[: len(block.orders) - 1], 1):
             grams, below = block.orders[n], block.orders[n - 1]
-            context = (np.append(below.count, texts) if n == 1 else below.count)[grams.left].astype(float)
-            p = (grams.count + prior * p[grams.right]) / (context + prior)
-            self.arcs.append(np.log10(p))
-            self.failures.append(np.log10(prior / (context + prior)))
-            self.exists.append(grams.count > 0)
+            counts = (np.append(below.count, texts) if n == 1 else below.count).astype(float)
+            after = first + len(counts)
+            failures.append(np.zeros(len(counts), np.int64) if n == 1 else before + below.right)
+            costs.append(np.log10(prior / (counts + prior)))
+            p = (grams.count + prior * p[grams.right]) / (counts[grams.left] + prior)
+            there = np.flatnonzero(grams.count > 0)
+            keys.append((first + grams.left[there].astype(np.int64)) * self.n_words + grams.word[there])
+            weights.append(np.log10(p[there]))
+            targets.append(after + there if n < len(priors) else first + grams.right[there].astype(np.int64))
+            before, first = first, after
+        self.begin = 1 + self.n_words if len(priors) and texts else 0
+        self.arcs = dict(zip(np.concatenate(keys).tolist(), range(sum(map(len, keys))), strict=True))
+        self.weights, self.targets = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
+        self.failures, self.costs = np.concatenate(failures).tolist(), np.concatenate(costs).tolist()
 
     def traverse(self, block: Block) -> np.ndarray:
-        """The weight of each step, texts read left to right, all at once.
-
-        A step starts in the state of the longest context and takes its arc for the word; while there is none it takes
-        failure arcs, to the root at last. Every context is the end of the text so far, so the state needs no search.
-        """
-        steps = self.arcs[0][block.tokens]
-        for n in range(1, len(self.arcs)):
-            at = block.orders[n].at
-            there = np.flatnonzero(at >= 0)
-            g = at[there]
-            steps[there] = np.where(self.exists[n][g], self.arcs[n][g], steps[there] + self.failures[n][g])
-        return steps
+        """The weight of each step, from left to right: what the failure arcs cost that are taken before the word has an arc, and that arc's own."""
+        arc_of, weights, targets, failures, costs, n_words = self.arcs.get, self.weights, self.targets, self.failures, self.costs, self.n_words
+        tokens, steps = block.tokens.tolist(), []
+        for start, length in zip(block.starts.tolist(), block.lengths.tolist(), strict=True):
+            state = self.begin
+            for word in tokens[start : start + length]:
+                cost = 0.0
+                while (arc := arc_of(state * n_words + word)) is None:
+                    cost += costs[state]
+                    state = failures[state]
+                steps.append(cost + weights[arc])
+                state = targets[arc]
+        return np.array(steps)
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -212,8 +235,12 @@ def _rebuilt(row: dict, folder: str, orders: int) -> Block:
     return b
 
 
-def _count_order(packed: DataFrame, folder: str, order: int, ranges: int) -> tuple[int, int]:
-    """Counts the n-grams of one order and leaves each block's answers in a file; returns how many there are, and how many distinct."""
+def _count_order(packed: DataFrame, folder: str, order: int, n_blocks: int, n_tokens: int) -> tuple[int, int]:
+    """Counts the n-grams of one order and leaves each block's answers in a file; returns how many there are, and how many distinct.
+
+    Both shuffles have as many partitions as the corpus asks for, so that the largest task stays as it is when the corpus grows.
+    """
+    ranges, least = 1 + n_tokens // RANGE_TOKENS, width(packed.sparkSession)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,11 +250,12 @@ def _count_order(packed: DataFrame, folder: str, order: int, ranges: int) -> tup
                     b.extend()
                 top, asked = b.orders[-1], b.open()
                 keys, own = top.keys[asked], top.own[asked]
-                cuts = np.searchsorted(_range(keys, ranges), np.arange(ranges + 1))
-                for k in range(ranges):
-                    x, y = cuts[k], cuts[k + 1]
-                    if y > x:
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([row["block"]]), pa.array([planes(np.diff(keys[x:y], prepend=np.uint64(0)))], pa.binary()), pa.array([planes(own[x:y])], pa.binary())], ["range", "block", "keys", "counts"])
+                found, first = np.unique(_range(keys, ranges), return_index=True)
+                cuts = np.append(first, len(keys)).tolist()
+                for k in range(0, len(found), 1000):
+                    part = list(zip(cuts[k : k + 1000], cuts[k + 1 : k + 1001], strict=False))
+                    sent = [pa.array([planes(np.diff(keys[x:y], prepend=np.uint64(0))) for x, y in part], pa.binary()), pa.array([planes(own[x:y]) for x, y in part], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([pa.array(found[k : k + 1000], pa.int64()), pa.array([row["block"]] * len(part), pa.int64()), *sent], ["range", "block", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
         n = np.array([len(x.as_buffer()) // 8 for x in table.column("keys")])
@@ -256,9 +284,9 @@ def _count_order(packed: DataFrame, folder: str, order: int, ranges: int) -> tup
         place.move(temporary, name)
         return pa.table({"total": pa.array([sum(r["total"] for r in rows)], pa.int64()), "distinct": pa.array([sum(r["distinct"] for r in rows)], pa.int64())})
 
-    asked = packed.mapInArrow(ask, "range int, block long, keys binary, counts binary")
-    answers = asked.groupBy("range").applyInArrow(answer, "range int, block long, sums binary, total long, distinct long")
-    stored = answers.groupBy("block").applyInArrow(store, "total long, distinct long")
+    asked = packed.mapInArrow(ask, "range long, block long, keys binary, counts binary").repartition(max(least, 1 + ranges // RANGES_A_TASK), "range")
+    answers = asked.groupBy("range").applyInArrow(answer, "range long, block long, sums binary, total long, distinct long")
+    stored = answers.repartition(max(least, 1 + n_blocks // BLOCKS_A_TASK), "block").groupBy("block").applyInArrow(store, "total long, distinct long")
     # Written rather than collected: Spark deletes the shuffle files of a write once it is done.
     totals = stored.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct"))
     return tuple(written(totals, f"totals-{order}").first())
@@ -273,19 +301,20 @@ def score(docs: DataFrame, learn: Column, priors: Sequence[float] = PRIORS, bloc
     ``learn`` says which rows the model learns from; ``priors`` are those of pairs, triples and so on, so their number sets
     the order. base_score adds up the root's arcs alone, score the automaton's; both are log10 probabilities of the text
     and its end. A null text is empty: one token, its end. Rows without doc_id and repeated rows are kept and count each
-    time. If nothing is learned from, all words are unknown. An empty table gives an empty result. Other columns aren't
-    read.
+    time. If nothing is learned from, all words are unknown. An empty table gives an empty result; there are no ties. A text
+    is never split, so a very long one is a block of its own. Other columns aren't read.
 
     Blocks are written once and never move; only counts are shuffled, by hash range and back by block. A word or n-gram
     with any share of all tokens is one count in each block.
     """
     spark = docs.sparkSession
-    ranges, folder = width(spark), new_folder(spark, "lm")
+    folder = new_folder(spark, "lm")
     packed = written(blocks(docs, learn, block_tokens), "blocks")
     texts = docs.filter(learn).count()
-    total, distinct = _count_order(packed, folder, 1, ranges)
+    size = tuple(packed.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first())
+    total, distinct = _count_order(packed, folder, 1, *size)
     for order in range(2, len(priors) + 2):
-        _count_order(packed, folder, order, ranges)
+        _count_order(packed, folder, order, *size)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCORED.split(", ")]
@@ -297,7 +326,7 @@ def score(docs: DataFrame, learn: Column, priors: Sequence[float] = PRIORS, bloc
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(b.doc_ids, mask=b.no_id), pa.array(b.train), pa.array(b.lengths), add((b.orders[0].count > 0)[b.tokens].astype(np.int64)),
-                        pa.array(np.full(len(b.lengths), total, np.int64)), add(a.arcs[0][b.tokens]), add(a.traverse(b)),
+                        pa.array(np.full(len(b.lengths), total, np.int64)), add(a.root[b.tokens]), add(a.traverse(b)),
                     ], names,
                 )
 
