@@ -1,3 +1,7 @@
+import re
+import time
+from html import unescape
+
 import pytest
 
 from linkloom.llm import html_text as H
@@ -84,9 +88,68 @@ def test_very_long_and_deep():
 
 
 def test_neighbours():
-    b = [H.Block(t, 0, False, False, 0) for t in ("short", GOOD, "short", GOOD, "short", "no common words here whatsoever, merely nouns, verbs, adjectives, adverbs, punctuation marks!", "short")]
+    b = [H.Block(t, 0, False, False, 0) for t in ("short", GOOD, "short", GOOD, "short", LISTING, "short")]
     H.judge(b)
     assert [x.label for x in b] == [H.BAD, H.GOOD, H.GOOD, H.GOOD, H.BAD, H.BAD, H.BAD]
+    for x in b:
+        x.kind, x.label = "text", ""
+    H.judge(b)  # a paragraph at the edge takes the only neighbour that is decided
+    assert [x.label for x in b] == [H.GOOD, H.GOOD, H.GOOD, H.GOOD, H.BAD, H.BAD, H.BAD]
+
+
+LISTING = "no common words here whatsoever, merely nouns, verbs, adjectives, adverbs, punctuation marks! " * 2 + "Cheap flights, hotels, tickets"
+RUSSIAN = "Это первый абзац статьи, он написан достаточно длинно, чтобы его можно было оценить по длине, и потому продолжается ещё некоторое время, пока не станет длиннее двухсот знаков, а затем спокойно заканчивается точкой."
+CHINESE = "这是文章的第一段它写得足够长以便可以按照长度来判断所以它还会继续一段时间直到超过两百个字符然后安静地结束" * 5
+
+
+def test_passes_decide_without_marks(monkeypatch):
+    """Stop words tell a text from a list of keywords, links a menu, and neighbours decide what is short; without the lists the result is another."""
+    html = f"<body><div>Top</div><p>{LISTING}</p><h2>Title</h2><p>{GOOD}</p><p>Short.</p><p>{OTHER}</p><div>{LISTING}</div><div>Bottom</div></body>"
+    assert text(html) == f"Title {GOOD} Short. {OTHER}"
+    monkeypatch.setattr(H, "STOP_WORDS", frozenset())
+    assert text(html) != f"Title {GOOD} Short. {OTHER}"
+    monkeypatch.undo()
+    for name, value in (("SHORT", 10**6), ("LINKS", 0.0), ("LONG", 10**6)):
+        monkeypatch.setattr(H, name, value)
+        assert text(html.replace("Short.", "A <a href=x>short</a> one.")) != f"Title {GOOD} A short one. {OTHER}"
+        monkeypatch.undo()
+
+
+def test_passes_decide_within_an_article():
+    """The heading of a link list goes with it; a table and a listing stay."""
+    menu = "<ul><li><a href=a>One</a><li><a href=b>Two</a></ul>"
+    assert text(f"<article><h1>Title</h1><p>{GOOD}</p><h3>See also</h3>{menu}{menu}</article>") == f"Title {GOOD}"
+    assert text(f"<article><h1>Title</h1><p>{GOOD}</p><h3>Data</h3><pre>{LISTING}</pre><p>End.</p></article>") == f"Title {GOOD} Data {LISTING} End."
+
+
+@pytest.mark.parametrize("body", [RUSSIAN, CHINESE, "Hello world."])
+def test_other_scripts_and_short_pages(body):
+    assert text(f"<body><p>{body}</p></body>") == body
+    assert text(f"<article><h1>Ж</h1><p>{body}</p></article>") == f"Ж {body}"
+    assert text(f"<nav>x</nav><h1>Заголовок</h1><p>{body}</p><p>Да.</p><footer>y</footer>") == f"Заголовок {body} Да."
+    assert text(body) == body
+    assert text(f"<body><p>{GOOD}</p><p>{body}</p><p>{OTHER}</p></body>") == f"{GOOD} {body} {OTHER}"
+
+
+@pytest.mark.parametrize("name, stays", [("search-methods", True), ("share-of-votes", True), ("notice-period", True), ("skip-lists", True), ("search", False), ("share-buttons", False), ("social share", False), ("notice box", False), ("related-posts", False), ("x newsletter-signup-form y", False)])
+def test_names_in_an_article(name, stays):
+    assert text(f'<article><p>{GOOD}</p><section class="{name}"><p>{OTHER}</p></section></article>') == (f"{GOOD} {OTHER}" if stays else GOOD)
+
+
+def test_formulas_stay():
+    assert text(f"<article><p>{GOOD} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>") == f"{GOOD} x=2"
+
+
+@pytest.mark.parametrize("piece", ["<svg>", "<div>", "<p>", "<b>", "<li>", "<b><hr>", "<h1>", "<a href=x>y", "<span></i>", "</div>", "<object><p>x", "<!-- ", "<a '", "<ul><li><b>x", "&amp", "<title", "<td><i>x</u>"])
+def test_time_grows_with_length_only(piece):
+    def seconds(n):
+        began = time.perf_counter()
+        text(piece * n + f"<p>{GOOD}")
+        return time.perf_counter() - began
+
+    seconds(2000)
+    small, large = min(seconds(2000) for _ in range(3)), seconds(32_000)
+    assert large < 16 * 4 * max(small, 0.002)
 
 
 PAGES = "page_id long, url string, html string, text string, n_good int"
@@ -99,15 +162,23 @@ def test_table(spark):
     assert H.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
-def test_query(spark, sf_dir):
-    """The pages' own article, cut out by its tags, is what must come back."""
-    import re
-    from html import unescape
+def own_text(html):
+    """A page's article, cut out by its tags."""
+    inner = re.search("<article>(.*)</article>", html, re.S)[1]
+    parts = (" ".join(unescape(re.sub("</?b>", "", p.replace("<br>", " "))).split()) for p in re.split("</?(?:p|h1)>", inner))
+    return " ".join(p for p in parts if p)
+
 
+def test_query(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     got = H.op6_html_text(spark, sf_dir).collect()
     assert len(got) == len(pages)
     for r in got:
-        inner = re.search("<article>(.*)</article>", pages[r["page_id"]], re.S)[1]
-        parts = (" ".join(unescape(re.sub("</?b>", "", p.replace("<br>", " "))).split()) for p in re.split("</?(?:p|h1)>", inner))
-        assert r["text"] == " ".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
+        assert r["text"] == own_text(pages[r["page_id"]]) and r["n_chars"] == len(r["text"])
+
+
+def test_pages_without_their_marks(spark):
+    """Without article tags it is the passes alone that find the same texts."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    same = sum(text(re.sub("</?article>", "", h)) == own_text(h) for h in pages)
+    assert same >= 0.98 * len(pages)
