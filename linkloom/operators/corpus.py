@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.sources.scratch import written
+
 # What the selection leaves out, and its limits.
 EXCLUDED_PATHS = ["/favicon.ico", "/robots.txt", "/sitemap.xml", "/sitemap_index.xml"]
 PROTOCOLS = ["http", "https"]
@@ -89,7 +91,8 @@ def first_by_hash(rows: DataFrame, n: int) -> DataFrame:
     """The n rows that come first in random order, without a global sort.
 
     Rows are counted by the first four hex digits of the hash, at most 65,536 groups. Groups wholly within n are kept as
-    they are; only the group that n cuts is sorted. ``rows`` is read three times, so pass a stored table.
+    they are; only the group that n cuts is sorted. ``rows`` is read up to three times, so pass a stored table; a plan is
+    worked out once if it goes through linkloom.sources.scratch.written() first, as select_training does.
     """
     rows = rows.withColumn("_h", F.substring(F.md5("url"), 1, 4))
     counts = rows.groupBy("_h").count().withColumn("upto", F.sum("count").over(Window.orderBy("_h")))
@@ -102,7 +105,7 @@ def first_by_hash(rows: DataFrame, n: int) -> DataFrame:
 
 def select_training(records: DataFrame, quota: int = DOMAIN_QUOTA, target: int = TARGET_URLS) -> DataFrame:
     """url of the selection: distinct wanted candidates, a quota by domain, then the target's number in random order."""
-    return first_by_hash(quota_by_hash(distinct_candidates(records), quota).select("url"), target)
+    return first_by_hash(written(quota_by_hash(distinct_candidates(records), quota).select("url"), "eligible"), target)
 
 
 def host_of(url: Column) -> Column:

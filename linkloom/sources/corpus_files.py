@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
 import re
+import urllib.request
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +13,22 @@ from pyspark.sql import functions as F
 from . import files
 
 SHARD = re.compile(r"shard-[0-9]{4}\.parquet")
-SHARD_GLOB = "shard-[0-9][0-9][0-9][0-9].parquet"
 CANDIDATE = "url string, domain string, url_protocol string, url_path string, url_query string, url_port int"
 
 
 def manifest(spark: SparkSession, path: str, base: str = "") -> DataFrame:
-    """path: one line each of a text file, gzipped or not, stripped, blank lines left out, behind a base URL. Empty: an error."""
-    lines = spark.read.text(path).select(F.trim("value").alias("v")).filter("v <> ''").select(F.concat(F.lit(base), "v").alias("path"))
+    """path: one line each of a text file, gzipped or not, stripped, blank lines left out, behind a base URL. Empty: an error.
+
+    A list at an http or https address is fetched by the driver; it names a crawl's files, some hundreds.
+    """
+    if path.startswith(("http://", "https://")):
+        with urllib.request.urlopen(path, timeout=60) as answer:
+            data = answer.read()
+        text = (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode()
+        found = spark.createDataFrame([(x,) for x in text.splitlines()], "value string")
+    else:
+        found = spark.read.text(path)
+    lines = found.select(F.trim(F.regexp_replace("value", "\\s", " ")).alias("v")).filter("v <> ''").select(F.concat(F.lit(base), "v").alias("path"))
     if not lines.limit(1).count():
         raise ValueError(f"{path} lists nothing")
     return lines
@@ -47,6 +58,11 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(*shard_paths(spark, path))
 
 
+def write_rank_lines(rows: DataFrame, path: str) -> None:
+    """Two text columns as a CSV file without a header, spaces kept."""
+    rows.select("column0", "column1").write.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 def rank_lines(spark: SparkSession, path: str) -> DataFrame:
     """column0, column1 of a CSV file without a header, as text."""
     return spark.read.schema("column0 string, column1 string").csv(path)

@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
+ASIDE = ".old"  # ends the name of a folder that is being replaced
 
 def _at(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -30,15 +31,39 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def publish(spark: SparkSession, temporary: str, final: str) -> None:
-    """Puts a finished file or folder in place of another by a rename, so that readers see the old one or the new one."""
+    """Puts a finished file or folder in place of another.
+
+    A file replaces a file in one step, so readers see the old one or the new one and there always is one. No store replaces
+    a folder that isn't empty: the old one is moved aside, the new one put in its place, and the old one deleted. If that
+    stops half-way, recover() brings the old one back.
+    """
     store, to = _at(spark, final)
     _, frm = _at(spark, temporary)
-    if store.exists(to):
-        store.delete(to, True)
-    elif to.getParent() is not None:
+    if to.getParent() is not None:
         store.mkdirs(to.getParent())
-    if not store.rename(frm, to):
-        raise OSError(f"{temporary} can't be renamed to {final}")
+    aside = None
+    if store.exists(to) and store.getFileStatus(to).isDirectory():
+        aside = _at(spark, f"{final}{ASIDE}")[1]
+        store.delete(aside, True)
+        if not store.rename(to, aside):
+            raise OSError(f"{final} can't be moved aside")
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    how = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.makeQualified(frm).toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(store.makeQualified(frm), store.makeQualified(to), how)
+    if aside is not None:
+        store.delete(aside, True)
+
+
+def recover(spark: SparkSession, final: str) -> None:
+    """Takes up a folder whose replacement stopped half-way: the old one comes back if there is no new one, else it goes."""
+    store, to = _at(spark, final)
+    aside = _at(spark, f"{final}{ASIDE}")[1]
+    if store.exists(aside):
+        if store.exists(to):
+            store.delete(aside, True)
+        else:
+            store.rename(aside, to)
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:

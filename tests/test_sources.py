@@ -1,5 +1,8 @@
+import functools
 import gzip
+import http.server
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +21,39 @@ def test_manifest(spark, tmp_path):
         corpus_files.manifest(spark, f"{tmp_path}/none")
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_manifest_from_a_server(spark, tmp_path, packed):
+    data = b"  a/b.parquet \r\n\n\nc.parquet\n"
+    (tmp_path / "list").write_bytes(gzip.compress(data) if packed else data)
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(http.server.SimpleHTTPRequestHandler, directory=tmp_path)) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        got = corpus_files.manifest(spark, f"http://127.0.0.1:{server.server_port}/list", "b/").collect()
+        server.shutdown()
+    assert [r["path"] for r in got] == ["b/a/b.parquet", "b/c.parquet"]
+
+
+def test_files_are_replaced_in_one_step(spark, tmp_path):
+    files.write_json(spark, f"{tmp_path}/state.json", {"a": 1})
+    files.write_json(spark, f"{tmp_path}/state.json", {"a": 2})
+    assert files.read_json(spark, f"{tmp_path}/state.json") == {"a": 2}
+    assert [p.rpartition("/")[2] for p in files.names(spark, str(tmp_path))] == ["state.json"]
+
+
+def test_a_folder_whose_replacement_stops_comes_back(spark, tmp_path):
+    one = lambda x: spark.createDataFrame([(x,)], "url string")
+    corpus_files.write_urls(one("old"), f"{tmp_path}/urls")
+    one("new").write.text(f"{tmp_path}/new")
+    read = lambda: [r["url"] for r in corpus_files.url_lines(spark, f"{tmp_path}/urls").collect()]
+    (tmp_path / "urls").rename(tmp_path / f"urls{files.ASIDE}")  # it stopped between the two renames
+    files.recover(spark, f"{tmp_path}/urls")
+    assert read() == ["old"]
+    files.publish(spark, f"{tmp_path}/new", f"{tmp_path}/urls")
+    assert read() == ["new"]
+    (tmp_path / f"urls{files.ASIDE}").mkdir()  # it stopped before the old one was deleted
+    files.recover(spark, f"{tmp_path}/urls")
+    assert read() == ["new"] and sorted(p.name for p in tmp_path.iterdir()) == ["urls"]
+
+
 def test_lines(spark, tmp_path):
     (tmp_path / "u").write_bytes(b'http://a/,"x"\r\n\nhttp://b/\ty\n' + b"h" * 100_000 + b"\r\r\n")
     got = [r["url"] for r in corpus_files.url_lines(spark, f"{tmp_path}/u").collect()]
@@ -92,6 +128,36 @@ def test_build(spark, tmp_path, crawl):
         collect.build(spark, collect.Plan(plan.folder, "c2", sources, target=20), ranked)
 
 
+def test_candidates_are_oversampled(spark, tmp_path, crawl, monkeypatch):
+    """The first aim is oversample times the target; a crawl file is read once; a second call takes up what the first left."""
+    sources, ranked = crawl
+    reads, crawl_rows = [], corpus_files.crawl_rows
+    monkeypatch.setattr(corpus_files, "crawl_rows", lambda s, path: (reads.append(path), crawl_rows(s, path))[1])
+    plan = collect.Plan(f"{tmp_path}/out", "c1", sources, target=10, per_source=12, quota=10, oversample=2.5, workers=1)
+    report = collect.build(spark, plan, ranked)
+    assert (report["candidates"], report["files"], report["urls"]) == (36, 3, 10)  # 25 candidates take three files of 12
+    assert reads == sources[:3]
+    names = [p.rpartition("/")[2] for p in files.names(spark, plan.folder)]
+    assert names == ["report.json", "shard-0000.parquet", "shard-0001.parquet", "shard-0002.parquet", "state.json", "urls"]
+    files.write_bytes(spark, f"{plan.folder}/notes.txt", b"mine")
+    collect.reset(spark, plan)
+    assert [p.rpartition("/")[2] for p in files.names(spark, plan.folder)] == ["notes.txt"]
+    assert collect.load_state(spark, plan).completed == {}
+    assert collect.build(spark, plan, ranked)["files"] == 3 and reads == sources[:3] * 2
+
+
+def test_state_survives_a_stop(spark, tmp_path, crawl, monkeypatch):
+    sources, ranked = crawl
+    plan = collect.Plan(f"{tmp_path}/out", "c1", sources, target=10, per_source=12, quota=10, oversample=2.5, workers=1)
+    save = collect.save_state
+    monkeypatch.setattr(collect, "save_state", lambda s, p, state: (_ for _ in ()).throw(KeyboardInterrupt) if len(state.completed) == 2 else save(s, p, state))
+    with pytest.raises(KeyboardInterrupt):
+        collect.build(spark, plan, ranked)
+    assert list(collect.load_state(spark, plan).completed) == ["0"]
+    monkeypatch.setattr(collect, "save_state", save)
+    assert collect.build(spark, plan, ranked)["files"] == 3
+
+
 def test_failed_files_can_be_tried_again(spark, tmp_path, crawl):
     sources, ranked = crawl
     missing = [*sources[:1], f"{tmp_path}/crawl/late"]
