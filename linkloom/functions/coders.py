@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 TOP, HALF, QUARTER = 1 << 32, 1 << 31, 1 << 30
 MOST_COUNT = 65535
 
@@ -108,18 +106,26 @@ def _unframed(stream: bytes) -> tuple[int, bytes]:
     return n, stream[4:]
 
 
+def _fitting(symbols: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Counts whose total, with an escape, is at most QUARTER: intervals are never narrower than that."""
+    while sum(count for _, count in symbols) >= QUARTER:
+        symbols = [(symbol, (count + 1) // 2) for symbol, count in symbols]
+    return symbols
+
+
 class StaticPPM:
     """A trained model: (order, last bytes as a number) -> symbols with counts, the most frequent first.
 
     A symbol is coded in the longest known context. A context that lacks it codes an escape, of count 1 after its symbols,
     and hands on to the next shorter one; after an escape of order 0, or without any context, the byte goes as it is.
+    Counts of a context whose total would leave the coder's interval too narrow are halved, rounding up, until it doesn't.
     """
 
     def __init__(self, max_order: int, contexts: dict[tuple[int, int], list[tuple[int, int]]]):
         self.max_order, self.contexts = max_order, {}
         for key, symbols in contexts.items():
             places, at = {}, 0
-            for symbol, count in symbols:
+            for symbol, count in _fitting(symbols):
                 if count <= 0 or symbol in places:
                     raise CoderError("a count of 0, or a symbol twice")
                 places[symbol] = at, at + count
@@ -186,16 +192,22 @@ class AdaptivePPM:
     """Counts of symbols after each history of up to MAX_ORDER bytes, updated after every byte on both sides.
 
     Symbols are laid out in byte order with an escape of count 1 behind them. A byte that the model has never met can't be
-    coded. Counts are halved, rounding up, once a context's total reaches MOST_COUNT.
+    coded. Counts are halved, rounding up, once a context's total reaches MOST_COUNT. Coding learns in a layer over the model,
+    which holds the contexts that it has changed, so the model itself stays as it is and isn't copied.
     """
 
     MAX_ORDER = 4
 
-    def __init__(self, contexts: dict[bytes, dict[int, int]] | None = None):
-        self.contexts: dict[bytes, dict[int, int]] = defaultdict(dict, {k: dict(v) for k, v in (contexts or {}).items()})
+    def __init__(self, contexts: dict[bytes, dict[int, int]] | None = None, below: AdaptivePPM | None = None):
+        self.contexts: dict[bytes, dict[int, int]] = {k: dict(v) for k, v in (contexts or {}).items()}
+        self.below = below
 
     def clone(self) -> AdaptivePPM:
-        return AdaptivePPM(self.contexts)
+        return AdaptivePPM(self.contexts, self.below)
+
+    def counts(self, history: bytes) -> dict[int, int] | None:
+        own = self.contexts.get(history)
+        return self.below.counts(history) if own is None and self.below is not None else own
 
     def reset(self) -> None:
         self.contexts.clear()
@@ -205,7 +217,10 @@ class AdaptivePPM:
 
     def _learn(self, history: bytes, symbol: int) -> None:
         for order in range(len(history) + 1):
-            counts = self.contexts[history[len(history) - order :]]
+            key = history[len(history) - order :]
+            counts = self.contexts.get(key)
+            if counts is None:
+                counts = self.contexts[key] = dict(self.counts(key) or {})
             if counts.get(symbol, 0) >= MOST_COUNT:
                 continue
             counts[symbol] = counts.get(symbol, 0) + 1
@@ -220,11 +235,11 @@ class AdaptivePPM:
     def encode(self, data: bytes) -> bytes:
         if not data:
             raise CoderError("nothing to encode")
-        model, out = self.clone(), RangeEncoder()
+        model, out = AdaptivePPM(below=self), RangeEncoder()
         for i, symbol in enumerate(data):
             history = data[max(0, i - self.MAX_ORDER) : i]
             for order in range(len(history), -1, -1):
-                counts = model.contexts.get(history[len(history) - order :])
+                counts = model.counts(history[len(history) - order :])
                 if not counts:
                     continue
                 total = sum(counts.values())
@@ -240,11 +255,11 @@ class AdaptivePPM:
 
     def decode(self, stream: bytes) -> bytes:
         n, payload = _unframed(stream)
-        model, r, out = self.clone(), RangeDecoder(payload), bytearray()
+        model, r, out = AdaptivePPM(below=self), RangeDecoder(payload), bytearray()
         for _ in range(n):
             history = bytes(out[max(0, len(out) - self.MAX_ORDER) :])
             for order in range(len(history), -1, -1):
-                counts = model.contexts.get(history[len(history) - order :])
+                counts = model.counts(history[len(history) - order :])
                 if not counts:
                     continue
                 total = sum(counts.values())

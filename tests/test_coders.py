@@ -80,6 +80,30 @@ def test_static_model():
             TOY.decode(stream)
 
 
+@pytest.mark.parametrize("total", [(1 << 30) - 1, 1 << 30, 1 << 31, 3 << 30, 1 << 40])
+def test_totals_over_the_coders_interval(total):
+    """As many as a corpus of tens of millions of URLs has bytes of order 0."""
+    rng = random.Random(total)
+    for _ in range(60):
+        symbols = [(b, rng.choice([1, 2, rng.randrange(1, 1 << 20)])) for b in range(97, 123)]
+        symbols.sort(key=lambda x: -x[1])
+        symbols[0] = (symbols[0][0], total - sum(c for _, c in symbols[1:]))
+        model = StaticPPM(1, {(0, 0): symbols, (1, 97): [(98, total - 1), (99, 1)]})
+        data = bytes(rng.choice([*range(97, 123), 97, 98, 255]) for _ in range(80))
+        assert model.decode(model.encode(data)) == data
+
+
+def test_adaptive_layers():
+    base = AdaptivePPM({b"": {97: 1, 98: 2}, b"a": {98: 1}})
+    layer = AdaptivePPM(below=base)
+    layer.update(b"ab")
+    assert base.contexts == {b"": {97: 1, 98: 2}, b"a": {98: 1}}
+    assert (layer.counts(b""), layer.counts(b"a"), layer.counts(b"x")) == ({97: 2, 98: 3}, {98: 2}, None)
+    copy = base.clone()
+    copy.update(b"ab")
+    assert copy.contexts == layer.contexts
+
+
 def test_adaptive():
     m = AdaptivePPM()
     for _ in range(20):
