@@ -81,38 +81,52 @@ def contexts(model: DataFrame) -> DataFrame:
 
 
 def positions(urls: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
-    """url_id, pos, symbol, ctx_order, ctx_key: each byte of each URL with its contexts of order 0 up to max_order.
+    """url_id, pos, symbol, ctx_order, ctx_key: each byte of each URL with its contexts of order 1 up to max_order; one row without a context if it has none.
 
-    Only short slices of the URL ride on the exploded rows.
+    The context of order 0 is left out: all bytes share it, and a join on it would send them all to one task. Only short
+    slices of the URL ride on the exploded rows.
     """
     data = F.col("url").cast("binary")
     cells = F.transform(F.sequence(F.lit(1), F.octet_length("url")), lambda i: F.struct(i.alias("pos"), F.hex(F.substring(data, F.greatest(i - max_order, F.lit(1)), F.least(i, F.lit(max_order + 1)))).alias("h")))
     rows = urls.filter(F.octet_length("url") > 0).select("url_id", F.explode(cells).alias("c")).select("url_id", "c.pos", "c.h")
-    order = F.explode(F.sequence(F.lit(0), (F.length("h") / 2 - 1).cast("int"))).alias("ctx_order")
+    longest = (F.length("h") / 2 - 1).cast("int")
+    order = F.explode(F.when(longest > 0, F.sequence(F.lit(1), longest)).otherwise(F.array(F.lit(None).cast("int")))).alias("ctx_order")
     rows = rows.select("url_id", "pos", "h", order)
     number = lambda text: F.conv(text, 16, 10).cast("long")
-    key = F.when(F.col("ctx_order") == 0, F.lit(0).cast("long")).otherwise(number(F.substring(F.col("h"), F.length("h") - 1 - 2 * F.col("ctx_order"), 2 * F.col("ctx_order"))))
+    key = number(F.substring(F.col("h"), F.length("h") - 1 - 2 * F.col("ctx_order"), 2 * F.col("ctx_order")))
     return rows.select("url_id", "pos", number(F.substring(F.col("h"), F.length("h") - 1, F.lit(2))).cast("int").alias("symbol"), "ctx_order", key.alias("ctx_key"))
 
 
+def order_zero(model: DataFrame) -> DataFrame:
+    """symbol, cnt0, total0 for all 256 bytes: the model's context of order 0, null where it has none. At most 256 rows of the model go through it."""
+    zero = model.filter("ctx_order = 0")
+    own, total = zero.select(F.col("symbol").alias("s"), F.col("cnt").alias("cnt0")), zero.agg(F.max("ctx_total").alias("total0"))
+    every = model.sparkSession.range(256).select(F.col("id").cast("int").alias("symbol"))
+    return every.join(F.broadcast(own), F.col("symbol") == F.col("s"), "left").join(F.broadcast(total), F.lit(True), "left").select("symbol", "cnt0", "total0")
+
+
 def best_contexts(urls: DataFrame, model: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
     """url_id, pos, best_order: the highest order whose context the model knows; -1 if it knows none."""
-    known = model.select("ctx_order", "ctx_key").distinct().withColumn("known", F.lit(True))
+    known = model.filter("ctx_order > 0").select("ctx_order", "ctx_key").distinct().withColumn("known", F.lit(True))
     found = positions(urls, max_order).join(known, ["ctx_order", "ctx_key"], "left")
-    return found.groupBy("url_id", "pos").agg(F.coalesce(F.max(F.when(F.col("known"), F.col("ctx_order"))), F.lit(-1)).cast("long").alias("best_order"))
+    best = found.groupBy("url_id", "pos", "symbol").agg(F.max(F.when(F.col("known"), F.col("ctx_order"))).alias("o"))
+    least = F.when(F.col("total0").isNotNull(), 0).otherwise(-1)
+    return best.join(F.broadcast(order_zero(model)), "symbol", "left").select("url_id", "pos", F.coalesce("o", least).cast("long").alias("best_order"))
 
 
 def ideal_bits(urls: DataFrame, model: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
     """url_id, n_bytes, bits: what the coder would take, without running it.
 
     A byte costs an escape, log2(total + 1), in each known context above the one that holds it, and its own share there; if
-    none does, all the escapes and eight bits.
+    none does, all the escapes and eight bits. Order 0 comes from a table of 256 rows.
     """
-    totals = model.groupBy("ctx_order", "ctx_key").agg(F.max("ctx_total").alias("ctx_total"))
-    entries = model.select("ctx_order", "ctx_key", "symbol", "cnt")
+    above = model.filter("ctx_order > 0")
+    totals = above.groupBy("ctx_order", "ctx_key").agg(F.max("ctx_total").alias("ctx_total"))
+    entries = above.select("ctx_order", "ctx_key", "symbol", "cnt")
     found = positions(urls, max_order).join(totals, ["ctx_order", "ctx_key"], "left").join(entries, ["ctx_order", "ctx_key", "symbol"], "left")
     cells = F.struct(F.col("ctx_order").alias("o"), F.log2(F.col("ctx_total") + 1).alias("esc"), (F.log2(F.col("ctx_total") + 1) - F.log2("cnt")).alias("own"))
-    rows = found.groupBy("url_id", "pos").agg(F.max(F.when(F.col("cnt").isNotNull(), cells)).alias("hit"), F.collect_list(F.when(F.col("ctx_total").isNotNull(), cells)).alias("known"))
+    rows = found.groupBy("url_id", "pos", "symbol").agg(F.max(F.when(F.col("cnt").isNotNull(), cells)).alias("hit"), F.collect_list(F.when(F.col("ctx_total").isNotNull(), cells)).alias("known"))
     escapes = F.aggregate(F.filter("known", lambda x: F.col("hit").isNull() | (x["o"] > F.col("hit.o"))), F.lit(0.0), lambda a, x: a + x["esc"])
-    bits = escapes + F.coalesce(F.col("hit.own"), F.lit(8.0))
-    return rows.groupBy("url_id").agg(F.count("*").alias("n_bytes"), F.round(F.sum(bits), 4).alias("bits"))
+    zero = F.coalesce(F.log2(F.col("total0") + 1), F.lit(0.0)) + F.coalesce(-F.log2("cnt0"), F.lit(8.0))
+    rows = rows.join(F.broadcast(order_zero(model)), "symbol", "left")
+    return rows.groupBy("url_id").agg(F.count("*").alias("n_bytes"), F.round(F.sum(escapes + F.coalesce(F.col("hit.own"), zero)), 4).alias("bits"))

@@ -78,3 +78,36 @@ def as_text(row) -> str:
         if isinstance(v, list):
             lines += ["", k.replace("_", " ").upper(), *(f"{x['count']:>14,}  {x['value']}" for x in v)]
     return "\n".join(lines)
+
+
+def table_text(rows: list, title: str) -> str:
+    """Rows as a table of text below a title, each column as wide as its longest value; numbers to the right."""
+    if not rows:
+        return f"{title.upper()}\n(none)"
+    shown = [[f"{v:,.4f}" if isinstance(v, float) else f"{v:,}" if isinstance(v, int) else "" if v is None else str(v) for v in r] for r in rows]
+    names = list(rows[0].asDict())
+    wide = [max(len(n), *(len(r[k]) for r in shown)) for k, n in enumerate(names)]
+    right = [isinstance(v, (int, float)) for v in rows[0]]
+    line = lambda cells: "  ".join(c.rjust(w) if x else c.ljust(w) for c, w, x in zip(cells, wide, right, strict=True)).rstrip()
+    return "\n".join([title.upper(), line(names), *map(line, shown)])
+
+
+def ngram_text(entropies: DataFrame, distinct: DataFrame) -> str:
+    """The n-gram report: bytes and entropies, then how many different windows of each length there are."""
+    lengths = distinct.select((F.col("k") + 1).alias("length"), "distinct_ngrams").orderBy("length")
+    return table_text(entropies.orderBy("group").collect(), "entropy, bits a byte") + "\n\n" + table_text(lengths.collect(), "distinct n-grams")
+
+
+def component_text(entropies: DataFrame) -> str:
+    """The components' report: bytes and entropies of each, the largest first."""
+    return table_text(entropies.orderBy(F.desc("bytes"), "group").withColumnRenamed("group", "component").collect(), "entropy of components, bits a byte")
+
+
+def vocabulary_text(model, n: int = 20) -> str:
+    """A vocabulary_model row: sizes, then the first n tokens of each list."""
+    own = model.asDict(recursive=True)
+    lines = [f"{k.replace('_', ' ') + ':':32}{v:,}" for k, v in own.items() if isinstance(v, int)]
+    for k, v in own.items():
+        if isinstance(v, list):
+            lines += ["", k.replace("_", " ").upper(), *(f"{x['count']:>14,}  {x['value']}" for x in v[:n])]
+    return "\n".join(lines)
