@@ -6,9 +6,11 @@
 2. Texts with equal sets are one class, which its smallest doc_id stands for; only that one goes on.
 3. Classes with equal band keys share a bucket. A bucket gives star edges only, from its smallest class to the others.
 4. Edges are confirmed on full sets, and components are found by alternating large and small stars.
-5. Where a star leaves a bucket in several components, the classes outside the centre's are compared with the bucket's
-   others, in blocks, by sketches of SKETCH minimal hashes. Only pairs that could be similar leave a block; they are
-   confirmed as the edges were. So pairs that share a bucket are in one component, or were compared.
+5. Where a bucket is left in several components, STARS more rounds give each such bucket one more star, around a class
+   outside the bucket's largest component: again fewer edges than the bucket has classes.
+6. What is outside the largest component of its bucket even then is compared with the bucket's others, in blocks, by
+   sketches of SKETCH minimal hashes. Only pairs that could be similar leave a block; they are confirmed as the edges
+   were. So pairs that share a bucket are in one component, or were compared.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ SIGMAS = 4.5
 PER_FILE = 8_000  # documents, whose rows of a thin table share a file
 EDGES_PER_FILE = 200_000
 SKETCH = 1024  # independent minimal hashes, a byte of each
-BLOCK = 250  # classes of a bucket in a block of step 5
+STARS = 2  # rounds of step 5
+BLOCK = 250  # classes of a bucket in a block of step 6
 
 
 def shingles(text: str | None, cache: WordHashes) -> np.ndarray:
@@ -142,11 +145,27 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def likely_in_blocks(members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """Pairs (a, b) of members(k, m, of_m, of_centre) of a bucket k in different components whose sketches are alike.
+def split_buckets(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """k, m, of, main for the buckets (k, m) that lie in several components: each class's component, and the largest of its bucket."""
+    own = buckets.select("k", "m").join(roots.select(F.col("node").alias("m"), F.col("root").alias("of")), "m", "left").select("k", "m", F.coalesce("of", "m").alias("of"))
+    sizes = own.groupBy("k", "of").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("k").agg(F.max(F.struct("n", "of")).alias("x"), F.count("*").alias("parts")).filter("parts > 1").select("k", F.col("x.of").alias("main"))
+    return own.join(main, "k")
 
-    Of each pair at least one is outside the component of the bucket's centre. A bucket is dealt to blocks of about BLOCK
-    members, so that it is spread over tasks however large it is, and rows are blocks, not pairs.
+
+def further_stars(split: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): in each bucket of split_buckets one class outside the largest component, another in each round, against those of other components."""
+    pick = F.xxhash64("m", F.lit(turn))
+    centres = split.filter("of <> main").groupBy("k").agg(F.min(F.struct(pick.alias("h"), "m", "of")).alias("x")).select("k", F.col("x.m").alias("centre"), F.col("x.of").alias("of_centre"))
+    return split.join(centres, "k").filter("of <> of_centre").select(F.least("centre", "m").alias("a"), F.greatest("centre", "m").alias("b")).distinct()
+
+
+def likely_in_blocks(split: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Pairs (a, b) of a bucket of split_buckets in different components whose sketches are alike.
+
+    Of each pair at least one is outside the bucket's largest component. All of a bucket, and those outside, are dealt to
+    blocks of about BLOCK classes, so that it is spread over tasks however large it is, and rows are blocks, not pairs: their
+    number is that of the blocks outside times that of all.
     """
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,22 +174,24 @@ def likely_in_blocks(members: DataFrame, sets: DataFrame, parts: int) -> DataFra
                 part = batch.slice(k, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sketch(np.frombuffer(x.as_buffer(), "<u8")) for x in part.column(1)], pa.binary())], ["m", "sketch"])
 
-    drawn = sets.join(members.select(F.col("m").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sketches, "m long, sketch binary")
+    drawn = sets.join(split.select(F.col("m").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sketches, "m long, sketch binary")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     # Few buckets fill more than a block. Written, that table shows its size, so members move for this join only if it is large.
-    large = written(members.groupBy("k").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).filter("blocks > 1"), "large", parts=parts)
-    own = members.join(large, "k", "left").withColumn("block", F.pmod(F.xxhash64("m"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    shared = members.groupBy("m").agg(F.collect_set("k").alias("ks"))
-    own = own.join(drawn, "m").join(shared, "m").withColumn("outside", F.col("of_m") != F.col("of_centre"))
-    cells = own.groupBy("k", "block").agg(F.collect_list(F.struct("m", "of_m", "outside", "sketch", "ks")).alias("x"), F.max("outside").alias("some"))
-    cells = written(cells, "blocks", parts=parts)
-    pairs = cells.filter("some").select("k", F.filter("x", lambda c: c["outside"]).alias("x")).join(cells.select("k", F.col("x").alias("y")), "k").select("k", "x", "y")
+    large = written(split.groupBy("k").agg(blocks(F.count("*")).alias("blocks"), blocks(F.count_if(F.col("of") != F.col("main"))).alias("blocks_outside")).filter("blocks > 1"), "large", parts=parts)
+    block = lambda n: F.pmod(F.xxhash64("m"), F.coalesce(n, F.lit(1))).cast("int")
+    shared = split.groupBy("m").agg(F.collect_set("k").alias("ks"))
+    own = split.join(large, "k", "left").withColumn("block", block("blocks")).withColumn("outside", F.when(F.col("of") != F.col("main"), block("blocks_outside")))
+    own = own.join(drawn, "m").join(shared, "m")
+    cells = written(own.groupBy("k", "block").agg(F.collect_list(F.struct("m", "of", "outside", "sketch", "ks")).alias("y")), "blocks", parts=parts)
+    outside = cells.select("k", F.explode(F.filter("y", lambda c: c["outside"].isNotNull())).alias("x")).groupBy("k", "x.outside").agg(F.collect_list("x").alias("x"))
+    pairs = written(outside.select("k", "x"), "outside", parts=parts).join(cells.select("k", "y"), "k").select("k", "x", "y")
     enough = 0.75 + 0.25 / 256 - SIGMAS * np.sqrt(0.75 * 0.25 / SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, x, y in zip(batch.column("k").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
                 (m, of, s, ks), (n, by, t, kt) = (
-                    (c.values.field("m").to_numpy(), c.values.field("of_m").to_numpy(), np.frombuffer(b"".join(c.values.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH), [set(z) for z in c.values.field("ks").to_pylist()])
+                    (c.values.field("m").to_numpy(), c.values.field("of").to_numpy(), np.frombuffer(b"".join(c.values.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH), [set(z) for z in c.values.field("ks").to_pylist()])
                     for c in (x, y)
                 )
                 a, b = [], []
@@ -226,11 +247,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Two rows are linked if their sets have a similarity of 75 % or more; component_id is the smallest doc_id that can be
     reached. Null, empty and wordless texts have no shingle, no link and are kept. Rows that share a doc_id are one
     document, whose rows count by their own texts. Rows without doc_id are linked with nothing: component_id is null and
-    they are kept. An empty table gives an empty result. Other columns aren't read.
+    they are kept. Repeated rows (doc_id and text) all have a row in the result, and count once in all steps. Of equal sets
+    the smallest doc_id stands for all. Texts are read whole. An empty table gives an empty result. Other columns aren't read.
 
     Recall: a similar pair shares no bucket with a chance of 5e-6, and no pair is left out for the size of its bucket.
     Of pairs that share one, signatures and sketches wrongly drop one in some hundred thousand at 75 %, next to none above 80 % (SIGMAS standard deviations).
-    Copies cost one row each, near copies one edge for each bucket, of 32, and what step 5 finds outside the stars.
+    Copies cost one row each, near copies one edge for each bucket, of 32, and for each round of step 5, and what step 6 finds outside the stars.
     """
     return verdicts(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -240,11 +262,15 @@ def verdicts(docs: DataFrame) -> DataFrame:
     base = written(signed(docs), "signed")
     parts = 1 + base.count() // PER_FILE
     thin = lambda df, name: written(df, name, parts=parts)
+    # Repeated rows meet partly before the shuffle, and are one row from here on.
     named = base.filter("n > 0 and doc_id is not null")
+    repeated = bool(named.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows")).filter("rows > 1").limit(1).count())
+    named = named.dropDuplicates(["digest", "doc_id", "text_key"]) if repeated else named
     # The smallest doc_id of a class, if any row has one, and with it the smallest text_key.
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("x")
     classes = thin(base.filter("n > 0").groupBy("digest").agg(smallest).select("digest", "x.doc_id", F.col("x.text_key").alias("first_key")), "classes")
-    reps = thin(named.join(classes, ["digest", "doc_id"], "left_semi").select("doc_id", "text_key", "n", "sig", "keys"), "reps")
+    first_rows = classes.select("digest", "doc_id", F.col("first_key").alias("text_key"))
+    reps = thin(named.join(first_rows, ["digest", "doc_id", "text_key"], "left_semi").select("doc_id", "text_key", "n", "sig", "keys"), "reps")
 
     member = reps.select(F.explode("keys").alias("k"), F.col("doc_id").alias("m"))
     stars = thin(member.groupBy("k").agg(F.min("m").alias("centre"), F.max("m").alias("last")).filter("last > centre").select("k", "centre"), "centres")
@@ -252,6 +278,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
     wanted = buckets.select(F.col("m").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    texts = texts.dropDuplicates(["doc_id", "text_key"]) if repeated else texts
     texts = texts.join(reps.select("doc_id", "text_key").join(wanted, "doc_id", "left_semi"), ["doc_id", "text_key"], "left_semi").select("doc_id", "text")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,15 +296,17 @@ def verdicts(docs: DataFrame) -> DataFrame:
     edges = confirm(likely(buckets.filter("m <> centre").select(F.col("centre").alias("a"), F.col("m").alias("b")).distinct(), reps))
     roots = components(edges)
 
-    of_m = roots.select(F.col("node").alias("m"), F.col("root").alias("of_m"))
-    of_centre = roots.select(F.col("node").alias("centre"), F.col("root").alias("of_centre"))
-    rest = buckets.filter("m <> centre").join(of_m, "m", "left").join(of_centre, "centre", "left")
-    rest = thin(rest.select("k", "m", F.coalesce("of_m", "m").alias("of_m"), F.coalesce("of_centre", "centre").alias("of_centre")), "rest")
-    split = rest.groupBy("k").agg(F.min("of_m").alias("low"), F.max("of_m").alias("high")).filter("low <> high").select("k")
-    more = confirm(likely_in_blocks(thin(rest.join(split, "k", "left_semi"), "split"), sets, parts))
-    if more.limit(1).count():
-        # The stars found so far stand for their edges.
-        roots = components(thin(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more), "edges"))
+    def with_more(found: DataFrame) -> DataFrame:
+        """The stars found so far stand for their edges."""
+        return components(thin(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(found), "edges"))
+
+    for turn in range(STARS + 1):
+        split = thin(split_buckets(buckets, roots), "split")
+        if not split.limit(1).count():
+            break
+        more = confirm(likely(further_stars(split, turn), reps) if turn < STARS else likely_in_blocks(split, sets, parts))
+        if more.limit(1).count():
+            roots = with_more(more)
 
     named_roots = roots.select(F.col("node").alias("doc_id"), F.col("root"))
     found = thin(classes.join(named_roots, "doc_id", "left").select("digest", F.col("doc_id").alias("first_id"), "first_key", F.coalesce("root", "doc_id").alias("root")), "roots")

@@ -82,6 +82,42 @@ def test_hub_is_not_the_smallest(docs_of):
     assert {r[2] for r in got} == {0}
 
 
+@pytest.mark.parametrize("stars", [0, 1, 3])
+def test_outlier_in_the_middle_of_a_bucket(docs_of, monkeypatch, stars):
+    """The smallest doc_id shares bands with a family but is similar to none: stars around it find nothing, later ones and blocks do."""
+    monkeypatch.setattr(N, "STARS", stars)
+    monkeypatch.setattr(N, "BLOCK", 4)
+    rng = random.Random(12)
+    texts = []
+    for n in (30, 9):
+        base = words(rng, 160, 10**6).split()
+        outlier = base[:115] + words(rng, 45, 10**6).split()
+        texts.append(" ".join(outlier))
+        for _ in range(n):
+            copy = list(base)
+            copy[rng.randrange(160)] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(texts)]
+    assert run(docs_of(rows)) == sorted(by_hand([r[:2] for r in rows]), key=repr)
+
+
+def test_repeated_rows_count_once(docs_of, monkeypatch):
+    rng = random.Random(13)
+    base = words(rng, 100, 10**6)
+    seen = []
+    likely, confirmed = N.likely, N.confirmed
+    monkeypatch.setattr(N, "likely", lambda pairs, classes: (out := likely(pairs, classes), seen.append((classes.count(), out.count())))[0])
+    monkeypatch.setattr(N, "confirmed", lambda pairs, sets: (seen.append((pairs.count(), sets.count())), confirmed(pairs, sets))[1])
+    counts = []
+    for times in (1, 5, 20):
+        seen.clear()
+        rows = [(1, base, "en", "s", 0), (2, base + " end", "en", "s", 0), (3, words(rng, 50), "en", "s", 0)] * times
+        got = run(docs_of(rows))
+        assert got == sorted([(1, 96, 1, True), (2, 97, 1, False), (3, 46, 3, True)] * times, key=repr)
+        counts.append(list(seen))
+    assert counts[0] == counts[1] == counts[2]
+
+
 def test_odd_rows(odd):
     assert run(odd) == sorted(by_hand([(r["doc_id"], r["text"]) for r in odd.collect()]), key=repr)
 
