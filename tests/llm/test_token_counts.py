@@ -17,10 +17,26 @@ def by_hand(rows):
 
 
 def test_odd_rows(odd):
-    got = sorted((tuple(r) for r in C.token_counts(odd, BYTES).collect()), key=repr)
+    got = sorted((tuple(r)[:4] for r in C.token_counts(odd, BYTES).collect()), key=repr)
     assert got == by_hand([(r["doc_id"], r["text"]) for r in odd.collect()])
 
 
+def test_repeated_rows_are_encoded_once(spark, docs_of, tmp_path):
+    rows = [(k, "one text", "en", "s", 0) for k in [None] * 9 + [3] * 9] + [(None, "other", "en", "s", 0)] * 5 + [(4, None, "en", "s", 0), (4, "", "en", "s", 0)]
+    got = sorted((tuple(r)[:4] for r in C.token_counts(docs_of(rows), BYTES, f"file://{tmp_path}/c").collect()), key=repr)
+    assert got == by_hand([r[:2] for r in rows])
+    assert spark.read.parquet(f"file://{tmp_path}/c").count() == 3
+
+
+def test_hits_are_counted(spark, docs_of, tmp_path):
+    cache = f"file://{tmp_path}/c"
+    hits = lambda n: [r["was_cached"] for r in C.token_counts(docs_of([(k, f"text {k % n}", "en", "s", 0) for k in range(40)]), BYTES, cache).collect()]
+    assert hits(4) == [False] * 40
+    assert hits(4) == [True] * 40
+    assert sum(hits(8)) == 20  # four texts are known, four are new
+    assert spark.read.parquet(cache).count() == 8
+
+
 def test_empty(empty):
     assert C.token_counts(empty, BYTES).count() == 0
 
@@ -52,4 +68,5 @@ def test_digest_tells_tokenizers_apart(name):
 
 def test_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
-    assert sorted((tuple(r) for r in C.op5_token_counts(spark, sf_dir).collect()), key=repr) == by_hand([(r["doc_id"], r["text"]) for r in docs])
+    assert sorted((tuple(r)[:4] for r in C.op5_token_counts(spark, sf_dir).collect()), key=repr) == by_hand([(r["doc_id"], r["text"]) for r in docs])
+    assert all(r["was_cached"] for r in C.op5_token_counts(spark, sf_dir).collect())
