@@ -1,6 +1,7 @@
 """Token-ID / binary output (1): length-delimited records of token ids, with masked checksums and a separate offset index.
 
-A shard is a file of records, in ascending doc_id order; shards follow each other in that order too. A record is
+A shard is a file of records, in ascending doc_id order, of about SHARD_BYTES at most; shards follow each other in that order
+too. A record is
 
     u64 length of the payload | u32 masked crc32 of those 8 bytes | payload | u32 masked crc32 of the payload
 
@@ -10,9 +11,11 @@ lies an index, ``u64 offset | u64 length of the record`` for each record, throug
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -27,6 +30,16 @@ HEAD, BODY, CRC = "<QI", "<qIB", "<I"
 HEAD_SIZE, BODY_SIZE, CRC_SIZE = map(struct.calcsize, (HEAD, BODY, CRC))
 INDEX = np.dtype([("offset", "<u8"), ("length", "<u8")])
 NO_ID = -(1 << 63)  # stands for a null doc_id
+SHARD_BYTES = 256 << 20
+# How a tokenizer's file says that it treats words one by one, as WordEncoder does.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None,
+}
 
 
 class DamagedRecord(ValueError):
@@ -88,7 +101,8 @@ class WordEncoder:
 
     A tokenizer that drops white space and never joins across it gives a text the ids of its words in turn, so each
     distinct word is encoded once. A run of stops and signs after a Latin-1 small letter or a digit and before white space
-    is a piece of its own, and is split off first. Texts with strings of special tokens are encoded in one piece.
+    is a piece of its own, and is split off first. Texts with strings of special tokens are encoded in one piece, and all
+    texts are if the tokenizer's file doesn't have the normaliser and the splitter for which that holds (WORDWISE).
     """
 
     #: Letters that lower-casing and NFC keep, and that \\p{L} holds in every version of Unicode.
@@ -98,7 +112,12 @@ class WordEncoder:
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
+        with open(path, "rb") as f:
+            how = json.load(f)
+        self.wordwise = all(how.get(k) == v for k, v in WORDWISE.items()) and how["model"]["type"] == "BPE"
         self.tok, self.most = Tokenizer.from_file(path), most
+        self.tok.no_truncation()
+        self.tok.no_padding()
         self.special = [t.content.encode().lower() for t in self.tok.get_added_tokens_decoder().values()]
         #: The byte-level alphabet: a byte that prints stands for itself, the others for characters from 256 on.
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -131,6 +150,8 @@ class WordEncoder:
         self.used += len(flat)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not self.wordwise:
+            return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         if len(self.seen) > self.most:
             self.clear()
         known, docs = len(self.seen), []
@@ -169,16 +190,18 @@ def encoder(path: str) -> WordEncoder:
     return cache["word-encoder", path]
 
 
-MANIFEST = "shard int, file string, n_records long, n_tokens long, n_bytes long"
+MANIFEST = "task int, shard int, file string, n_records long, n_tokens long, n_bytes long"
 
 
-def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None) -> DataFrame:
-    """Encodes docs(doc_id, text) and writes the shards. Returns their manifest, which is written beside them.
+def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Encodes docs(doc_id, text, ...) and writes the shards. Returns their manifest, which is written beside them.
 
-    One shuffle: rows are range-partitioned by doc_id, so that shard k holds smaller ids than shard k+1, and sorted
-    within. A task writes its shard under a name of its own and then renames it, so a repeated task leaves one whole
-    shard. A null text is empty, a null doc_id comes first; repeated rows all stay; further columns are not read.
-    An empty table gives no shard.
+    One shuffle: rows are range-partitioned by doc_id (and by a hash of the text, so that a doc_id of very many rows is split
+    too) and sorted within, so that task k holds no larger ids than task k+1. A task begins another shard when one has
+    ``shard_bytes``, so what it holds doesn't grow with the corpus. It writes under a name of its own and then renames; as the
+    rows of a task and their order are fixed, a repeated task leaves the same shards. A null text is empty, a null doc_id
+    comes first; repeated rows and those that share a doc_id all stay; a very long text is one record; further columns are
+    not read. An empty table gives no shard. Any tokenizer of the library will do.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
@@ -187,37 +210,46 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str
         from pyarrow import fs
         from pyspark import TaskContext
 
-        enc, shard, attempt = encoder(tokenizer), TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        enc, task, attempt = encoder(tokenizer), TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         store, root = fs.FileSystem.from_uri(f"{folder}/records")
-        name, f, index, at, tokens, tail = f"{root}/part-{shard:06d}", None, [], 0, 0, np.array([end_id], np.uint32)
+        shard, f, index, at, tokens, tail = 0, None, array("Q"), 0, 0, np.array([end_id], np.uint32)
+
+        def name() -> str:
+            return f"part-{task:06d}-{shard:06d}"
+
+        def done() -> pa.RecordBatch:
+            f.close()
+            with store.open_output_stream(f"{root}/{name()}.{attempt}.idx.tmp") as g:
+                g.write(np.array(index, "<u8").tobytes())
+            for kind, end in ((".tmp", ".rec"), (".idx.tmp", ".idx")):
+                store.move(f"{root}/{name()}.{attempt}{kind}", f"{root}/{name()}{end}")
+            return pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "shard": pa.array([shard], pa.int32()), "file": [f"{folder}/records/{name()}"], "n_records": [len(index) // 2], "n_tokens": [tokens], "n_bytes": [at]})
+
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if f is None and ids:
-                store.create_dir(root, recursive=True)
-                f = store.open_output_stream(f"{name}.{attempt}.tmp")
             for a, b in by_size(texts):
                 for doc_id, got in zip(ids[a:b], enc.encode(texts[a:b]), strict=True):
+                    if f is None:
+                        store.create_dir(root, recursive=True)
+                        f = store.open_output_stream(f"{root}/{name()}.{attempt}.tmp")
                     data = frame(doc_id, np.concatenate([got, tail]), enc.id_bytes)
                     f.write(data)
-                    index.append((at, len(data)))
+                    index.extend((at, len(data)))
                     at, tokens = at + len(data), tokens + len(got) + 1
-        if f is None:
-            return
-        f.close()
-        with store.open_output_stream(f"{name}.{attempt}.idx.tmp") as g:
-            g.write(np.array(index, INDEX).tobytes())
-        store.move(f"{name}.{attempt}.tmp", f"{name}.rec")
-        store.move(f"{name}.{attempt}.idx.tmp", f"{name}.idx")
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [f"{folder}/records/part-{shard:06d}"], "n_records": [len(index)], "n_tokens": [tokens], "n_bytes": [at]})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+                    if at >= shard_bytes:
+                        yield done()
+                        shard, f, index, at, tokens = shard + 1, None, array("Q"), 0, 0
+        if f is not None:
+            yield done()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    dealt = rows.repartitionByRange(width(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     shards = dealt.mapInArrow(write, MANIFEST).collect()  # a row for each shard
     return written(spark.createDataFrame(shards, MANIFEST), "manifest", f"{folder}/manifest", parts=1)
 
 
 def read_records(manifest: DataFrame) -> DataFrame:
-    """Reads shards back, each in its own task: doc_id, start (ids before the document), n_tokens, ids_crc32, shard, file offset.
+    """Reads shards back: doc_id, start (ids before the document), n_tokens, ids_crc32, file, file offset.
 
     The start of a shard is a prefix sum over the manifest, which has a row for each shard; within a shard ids are
     counted as they are read. Every length and checksum is tested.
@@ -234,15 +266,15 @@ def read_records(manifest: DataFrame) -> DataFrame:
                 out, start = [], row["start"]
                 with store.open_input_file(f"{name}.rec") as f:
                     for k, (doc_id, ids) in enumerate(records(f, index)):
-                        out.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), row["shard"], int(index["offset"][k])))
+                        out.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), row["name"], int(index["offset"][k])))
                         start += len(ids)
                         if len(out) == 10_000 or k == len(index) - 1:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset"])
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset"])
                             out = []
 
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = manifest.select("shard", "file", before.cast("long").alias("start"))
-    return rows.repartitionByRange(width(manifest.sparkSession), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, offset long")
+    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("task", "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = manifest.select("file", F.element_at(F.split("file", "/"), -1).alias("name"), before.cast("long").alias("start"))
+    return rows.repartitionByRange(width(manifest.sparkSession), "name").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string, offset long")
 
 
 def read_shuffled(file: str, seed: int) -> Iterator[tuple[int | None, np.ndarray]]:

@@ -29,21 +29,45 @@ def test_encoder_gives_the_librarys_ids():
     assert [list(x) for x in T.WordEncoder(PATH).encode([None])] == [[]]
 
 
-def expected(rows):
-    """doc_id, start, n_tokens, crc of each row in ascending order; nulls first."""
-    out, start = [], 0
-    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
-        ids = np.array([*library(text), 1], "<u4")
-        out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
-        start += len(ids)
-    return out
+def check(got, rows):
+    """got (doc_id, start, n_tokens, ids_crc32, ...) holds a record for each row (doc_id, text), in ascending order of doc_id, nulls first."""
+    got, at = sorted((tuple(r)[:4] for r in got), key=lambda r: r[1]), 0
+    for _, start, n, _ in got:
+        assert start == at
+        at += n
+    ids = [r[0] for r in got]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
+    want = []
+    for doc_id, text in rows:
+        x = np.array([*library(text), 1], "<u4")
+        want.append((doc_id, len(x), zlib.crc32(x.tobytes())))
+    assert sorted(((r[0], *r[2:]) for r in got), key=repr) == sorted(want, key=repr)
 
 
-def test_round_trip(spark, odd):
-    manifest = T.write_records(odd, PATH)
-    got = sorted(map(tuple, T.read_records(manifest).select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=lambda r: r[1])
-    assert got == expected([(r["doc_id"], r["text"]) for r in odd.collect()])
-    assert sum(r["n_tokens"] for r in manifest.collect()) == got[-1][1] + got[-1][2]
+COLUMNS = ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+@pytest.mark.parametrize("shard_bytes", [T.SHARD_BYTES, 200])
+def test_round_trip(spark, odd, shard_bytes):
+    manifest = T.write_records(odd, PATH, shard_bytes=shard_bytes)
+    got = T.read_records(manifest).select(COLUMNS).collect()
+    check(got, [(r["doc_id"], r["text"]) for r in odd.collect()])
+    assert sum(r["n_tokens"] for r in manifest.collect()) == sum(r["n_tokens"] for r in got)
+    assert (manifest.count() > 8) == (shard_bytes < T.SHARD_BYTES)  # more shards than tasks
+
+
+def test_a_doc_id_of_many_rows_is_split(docs_of):
+    rows = [(7 if k % 3 else k, f"text {k}", "en", "s", 0) for k in range(600)]
+    manifest = T.write_records(docs_of(rows), PATH)
+    assert max(r["n_records"] for r in manifest.collect()) < 200
+    check(T.read_records(manifest).select(COLUMNS).collect(), [r[:2] for r in rows])
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer_of_the_library(name):
+    enc, lib = T.WordEncoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    assert enc.wordwise == (name == "word_bpe_49k.json")
+    assert [list(x) for x in enc.encode([*HARD, None])] == [lib.encode(t, add_special_tokens=False).ids for t in [*HARD, ""]]
 
 
 def test_shuffled_read(spark, odd):
@@ -68,6 +92,5 @@ def test_damage_is_found():
 
 
 def test_query(spark, sf_dir):
-    got = T.op1_token_records(spark, sf_dir).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("doc_id").collect()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
-    assert [tuple(r) for r in got] == expected([(r["doc_id"], r["text"]) for r in docs])
+    check(T.op1_token_records(spark, sf_dir).select(COLUMNS).collect(), [(r["doc_id"], r["text"]) for r in docs])
