@@ -1,7 +1,7 @@
 """WARC (7): archives of gzipped records, and an index of captures made by merging locally sorted runs.
 
-Each task writes one archive and, beside it, the run of its captures sorted by URL key, timestamp and page. Runs are then
-merged by a loser tree, in as many ranges of the key as the index is large, into one globally ordered history.
+Each task writes archives of about ARCHIVE_BYTES at most and, beside each, the run of its captures sorted by URL key,
+timestamp and page. Runs are then merged by a loser tree, in as many ranges of the key as the index is large, into one globally ordered history.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .shared import new_folder, width, written
 
 SMALLEST_REVISIT = 1000  # payloads below this many bytes are stored each time
+ARCHIVE_BYTES = 256 << 20
 CRLF = b"\r\n"
 RUN = pa.schema([("key", pa.binary()), ("stamp", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 RUN_ROWS = 4096
@@ -164,7 +165,7 @@ def read_run(path: str, low: tuple | None = None, high: tuple | None = None) ->
         a, b = 0, run.num_record_batches
         while low is not None and b - a > 1:
             mid = (a + b) // 2
-            if sort_key(next(iter(rows(mid)))) <= low:
+            if sort_key(tuple(run.get_batch(mid).slice(0, 1).select([c]).to_pylist()[0][c] for c in RUN.names[:3])) <= low:
                 a = mid
             else:
                 b = mid
@@ -270,14 +271,17 @@ def url_key(url: Column) -> Column:
     return F.when(url == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), port, F.lit(")"), F.when(rest == "", "/").otherwise(rest)))
 
 
-def write_archives(pages: DataFrame, stamp: Column, folder: str, smallest_revisit: int = SMALLEST_REVISIT) -> DataFrame:
+def write_archives(pages: DataFrame, stamp: Column, folder: str, smallest_revisit: int = SMALLEST_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes pages(page_id, url, html) as archives with a sorted run beside each; returns file, run, n_rows of each.
 
     Of rows with equal payloads (SHA-1 and length) of at least ``smallest_revisit`` bytes, those with the largest page_id
     hold the payload and the others refer to it. That choice is made on digests alone; html goes through one shuffle, by
-    page and digest, which no group of copies makes uneven. Archives and runs get their names by a rename, so a repeated
-    task leaves one whole pair. A null html is empty; rows without page_id never hold a payload for others, and refer to
-    one if there is one. Repeated rows are all written. Other columns aren't read.
+    page and digest, which no group of copies makes uneven. A task begins another archive when one has ``archive_bytes``, so
+    the index entries that it holds don't grow with the table. Names hold the number of the task's attempt, and only those
+    of attempts that succeeded are in the result, so an archive and its run are always of one attempt. A null html is empty;
+    rows without page_id never hold a payload for others, and refer to one if there is one. Repeated rows are all written:
+    of a payload's rows with the largest page_id each holds it. A very long page is one record. An empty table gives no
+    archive. Other columns aren't read.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"), F.date_format(stamp, "yyyyMMddHHmmss").alias("stamp"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("n_bytes", F.octet_length("html").cast("long"))
@@ -292,27 +296,32 @@ def write_archives(pages: DataFrame, stamp: Column, folder: str, smallest_revisi
         from pyarrow import fs
         from pyspark import TaskContext
 
-        shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        mark = f"{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"
         store, root = fs.FileSystem.from_uri(folder)
-        name, f, run, at = f"{root}/part-{shard:06d}", None, [], 0
+        shard, f, run, at = 0, None, [], 0
+
+        def done() -> pa.RecordBatch:
+            f.close()
+            run.sort(key=sort_key)
+            with store.open_output_stream(f"{root}/part-{mark}-{shard}.arrow") as out:
+                write_run(out, iter(run))
+            return pa.RecordBatch.from_pydict({"file": [f"{folder}/part-{mark}-{shard}.warc.gz"], "run": [f"{folder}/part-{mark}-{shard}.arrow"], "n_rows": [len(run)]})
+
         for batch in batches:
-            for r in batch.to_pylist():
-                if f is None:
-                    store.create_dir(root, recursive=True)
-                    f = store.open_output_stream(f"{name}.{attempt}.tmp", compression=None)
-                data = record(r["page_id"], r["url"], r["stamp"], r["digest"], r["n_bytes"], (r["html"] or "").encode("utf-8", "surrogatepass"), r["refers_to"])
-                f.write(data)
-                run.append((r["key"], r["stamp"], r["page_id"], f"{folder}/part-{shard:06d}.warc.gz", at, len(data)))
-                at += len(data)
-        if f is None:
-            return
-        f.close()
-        run.sort(key=sort_key)
-        with store.open_output_stream(f"{name}.{attempt}.run") as out:
-            write_run(out, iter(run))
-        store.move(f"{name}.{attempt}.tmp", f"{name}.warc.gz")
-        store.move(f"{name}.{attempt}.run", f"{name}.arrow")
-        yield pa.RecordBatch.from_pydict({"file": [f"{folder}/part-{shard:06d}.warc.gz"], "run": [f"{folder}/part-{shard:06d}.arrow"], "n_rows": [len(run)]})
+            for k in range(0, batch.num_rows, 500):
+                for r in batch.slice(k, 500).to_pylist():
+                    if f is None:
+                        store.create_dir(root, recursive=True)
+                        f = store.open_output_stream(f"{root}/part-{mark}-{shard}.warc.gz", compression=None)
+                    data = record(r["page_id"], r["url"], r["stamp"], r["digest"], r["n_bytes"], (r["html"] or "").encode("utf-8", "surrogatepass"), r["refers_to"])
+                    f.write(data)
+                    run.append((r["key"], r["stamp"], r["page_id"], f"{folder}/part-{mark}-{shard}.warc.gz", at, len(data)))
+                    at += len(data)
+                    if at >= archive_bytes:
+                        yield done()
+                        shard, f, run, at = shard + 1, None, [], 0
+        if f is not None:
+            yield done()
 
     archives = rows.mapInArrow(write, schema := "file string, run string, n_rows long").collect()  # a row for each archive
     return written(pages.sparkSession.createDataFrame(archives, schema), "archives", f"{folder}/archives", parts=1)
@@ -322,7 +331,7 @@ READ = "file string, offset long, page_id long, url string, payload_bytes long,
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Reads archives back, each in its own task; checks lengths and payload digests."""
+    """Reads archives back, one after another; checks lengths and payload digests."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -349,7 +358,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
 def capture_history(pages: DataFrame, stamp: Column, folder: str | None = None) -> DataFrame:
     """Writes the archives, merges their runs, and returns each record as read back with its place in the merged index.
 
-    (index_range, index_pos) orders all captures by URL key, timestamp and page_id. An empty table gives an empty result.
+    (index_range, index_pos) orders all captures by URL key, timestamp and page_id; captures that are equal in these have
+    places in the order of their runs. Null urls come first; for other odd rows see write_archives(). An empty table gives an
+    empty result.
     """
     folder = folder or new_folder(pages.sparkSession, "warc")
     archives = write_archives(pages, stamp, folder)

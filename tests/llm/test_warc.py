@@ -43,6 +43,17 @@ def test_captures(spark):
     assert keys == sorted(keys)
 
 
+def test_archives_stay_small_and_long_pages_whole(spark, tmp_path):
+    long = "<p>" + "long page " * 300_000
+    rows = [*page_rows(), (900, "http://long.com/", long, "d", 0), (901, "http://long.com/2", long, "d", 0)]
+    archives = W.write_archives(spark.createDataFrame(rows, PAGES).repartition(3), stamp(), f"file://{tmp_path}/w", archive_bytes=500)
+    assert archives.count() > 20
+    got = W.read_archives(archives).collect()
+    assert sorted((tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got), key=repr) == by_hand(rows)
+    index = W.merge_index(archives.select("run", "n_rows"), f"file://{tmp_path}/w", fan_in=4, range_rows=30)
+    assert {(r["file"], r["offset"]) for r in index.collect()} == {(r["file"], r["offset"]) for r in got}
+
+
 def test_empty(spark):
     assert W.capture_history(spark.createDataFrame([], PAGES), stamp()).count() == 0
 
