@@ -7,6 +7,7 @@ falling length. A pair counts if its tiles cover enough of the item, in whatever
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,9 +26,18 @@ BASE, MOD = 1_000_003, (1 << 61) - 1
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
+#: Characters of scripts that write no spaces, each of them a token: from Thai to Tibetan, Myanmar, Khmer, and what is written in China and Japan.
+SOLID = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3040-\u312f\u31a0-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+SIGNS = re.compile("[\u3000-\u303f\uff01-\uff0f\uff1a-\uff20]+")
+
+
 def tokens(text: str | None) -> list[bytes]:
-    """Runs of letters, digits and non-ASCII characters, A-Z in lower case; null: none."""
-    return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
+    """Runs of letters, digits and non-ASCII characters, A-Z in lower case; in scripts without spaces each character. Null: none."""
+    if not text:
+        return []
+    if not text.isascii() and SOLID.search(text):
+        text = SOLID.sub(r" \g<0> ", SIGNS.sub(" ", text))
+    return text.encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
 def _windows(seq: list, taken: list[bool], n: int) -> Iterator[tuple[int, int]]:
@@ -134,12 +144,13 @@ class Items:
             hit = np.flatnonzero(keys[k] == h)
             if not len(hit):
                 continue
-            k, start = k[hit], start[hit]
-            count = first[k + 1] - first[k]
-            post = np.arange(int(count.sum())) + np.repeat(first[k] - (np.cumsum(count) - count), count)
-            items, places, starts = item[post], at[post], np.repeat(start, count)
+            # Postings are read once for each distinct seed of the text, however often it occurs there.
+            seed, occurrence, start = *np.unique(k[hit], return_inverse=True), start[hit]
+            count = first[seed + 1] - first[seed]
+            post = np.arange(int(count.sum())) + np.repeat(first[seed] - (np.cumsum(count) - count), count)
+            items, places, seeds = item[post], at[post], np.repeat(np.arange(len(seed)), count)
             order = np.argsort(items, kind="stable")
-            items, places, starts = items[order], places[order], starts[order]
+            items, places, seeds = items[order], places[order], seeds[order]
             cuts = np.flatnonzero(np.diff(items)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(items)], strict=True):
                 own = self.items[int(items[a])]
@@ -148,9 +159,11 @@ class Items:
                     covered[places[a:b] + d] = True
                 if covered.sum() < self.threshold * len(own):
                     continue  # tiles lie within shared seeds, so they can't reach the threshold
-                near = np.zeros(len(x), bool)
+                shared = np.zeros(len(seed), bool)
+                shared[seeds[a:b]] = True
+                starts, near = start[shared[occurrence]], np.zeros(len(x), bool)
                 for d in range(n):
-                    near[starts[a:b] + d] = True
+                    near[starts + d] = True
                 tiles = tile(own, self._near(x, near), n)
                 total = sum(t[2] for t in tiles)
                 if total >= self.threshold * len(own):
@@ -193,8 +206,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 4, thre
 
     The items are a stated query set: they are sent to the executors in blocks of bounded size, and each block meets all
     documents in one pass without a shuffle. Seeds are compared by hash, tiles by their tokens. Items of fewer than
-    ``min_match`` tokens match as a whole, items without tokens never. Null and empty texts have no rows; a null doc_id
-    or item_id is carried along, repeated rows give repeated rows. Empty tables give an empty result.
+    ``min_match`` tokens match as a whole, items without tokens never. Of matches that are equally long the first by place in
+    the item is marked first. Null and empty texts have no rows; very long ones are searched whole; a null doc_id or item_id
+    is carried along, repeated rows give repeated rows. Empty tables give an empty result. Other columns aren't read.
     """
     spark, out = docs.sparkSession, None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -214,7 +228,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 4, thre
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, min_match: int = 4, threshold: float = 0.6) -> DataFrame:
-    """docs(text, ...) without the rows that contain a test item; all columns, no shuffle. Null texts stay."""
+    """docs(text, ...) without the rows that contain a test item, as contaminated() finds them; no shuffle.
+
+    Null and empty texts stay, each repeated row is judged, and all columns keep their values, whatever their names.
+    """
     spark = docs.sparkSession
     for block in item_blocks(benchmark):
         sent, uid, at = spark.sparkContext.broadcast(block), uuid.uuid4().hex, docs.columns.index("text")

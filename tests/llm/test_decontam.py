@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -106,6 +107,38 @@ def test_short_items(n):
     assert i.matches("x y z") == []
 
 
+def test_scripts_without_spaces():
+    item = "春眠不觉晓处处闻啼鸟夜来风雨声花落知多少"
+    got = D.Items([(1, item), (2, "ภาษาไทยเขียนติดกันไม่เว้นวรรค")], 4, 0.6).matches(f"前面的文字，{item[10:]}。中间{item[:10]}后面")
+    assert [m[0] for m in got] == [1] and got[0][2] == 2
+    assert D.Items([(2, "ภาษาไทยเขียนติดกันไม่เว้นวรรค")], 4, 0.6).matches("กขค ภาษาไทยเขียนติดกันไม่เว้นวรรค abc")
+    assert D.tokens("Été, l’été") == ["Été,".encode()[:-1], "l’été".encode()]
+
+
+@pytest.mark.parametrize("text, item", [("a " * 20_000, "a " * 40), ("a a a a x " * 4_000, "a " * 60), ("a b " * 10_000 + "c", "a b " * 30 + "c d"), ("a b c d " * 5_000, "d c b a " * 10)])
+def test_long_and_repetitive_texts(text, item):
+    began = time.time()
+    got = D.Items([(k, item) for k in range(5)], 4, 0.6).matches(text)
+    assert time.time() - began < 20
+    a, b = ([{"a": 0, "b": 1, "c": 2, "d": 3, "x": -1}[w] for w in t.split()] for t in (item, text[:2000] + text[-400:]))
+    assert bool(got) == (sum(t[2] for t in brute_tiles(a, b, 4)) >= 0.6 * len(a))
+
+
+def test_near_matches_in_documents(spark, sf_dir):
+    """Every item and a sample of documents that hold parts of it, changed, against brute force: what the query gives for reordered and partial passages."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()][:12]
+    rng, docs = random.Random(21), []
+    for k, (_, text) in enumerate(items):
+        w = text.split()
+        for j in range(6):
+            cut, v = rng.randrange(1, len(w)), list(w)
+            for _ in range(rng.randrange(len(w) // 2)):
+                v[rng.randrange(len(v))] = f"x{rng.randrange(99)}"
+            docs.append((k * 10 + j, words(rng, 20) + " " + " ".join(v[cut:] + ["between"] + v[:cut]) + " " + words(rng, 20)))
+    got = sorted(((d, m[0], round(m[1], 9)) for d, t in docs for m in D.Items(items, 4, 0.6).matches(t)), key=repr)
+    assert got == by_hand(docs, items) and 0 < len(got) < len(docs)
+
+
 def test_query(spark, sf_dir):
     got = {(r["doc_id"], r["item_id"]) for r in D.op9_decontamination(spark, sf_dir).collect()}
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
