@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import by_size, worker_cache
+from .shared import by_size, unused, worker_cache
 
 WORD = re.compile(r"[^\W\d_]+")
 # First code points of ranges, and their scripts.
@@ -38,6 +38,7 @@ FLOOR = -8.0
 PENALTY = 6.0  # of a switch, in the units of a word's log-probability
 LEAST_SHARE = 0.01  # of a language's words in a script, for it to be a candidate there
 MOST_WORDS = 200_000  # remembered by a worker
+MOST_LANGUAGES = 512  # a bound of the model's size: 128 MB
 
 
 def words(text: str | None) -> list[str]:
@@ -92,6 +93,8 @@ def fit(labelled: DataFrame, rows_per_language: int = 5000) -> dict:
     own = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("text").alias("key"))
     counts = {r["lang"]: r["count"] for r in own.select("lang", "key").distinct().groupBy("lang").count().collect()}
     langs = sorted(counts)
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages; a model holds {MOST_LANGUAGES}")
     if not langs:
         return {"langs": [], "table": np.zeros((BUCKETS, 0), np.float32), "scripts": np.zeros((len(NAMES), 0), bool)}
     shares = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, rows_per_language / counts[k])))])
@@ -216,18 +219,20 @@ SPANS = "array<struct<first_word: int, end_word: int, lang: string>>"
 
 
 def identify(docs: DataFrame, model: dict, penalty: float = PENALTY) -> DataFrame:
-    """docs(text, ...) with lang_pred, score and spans, in one pass without a shuffle.
+    """docs(text, ...) with lang_pred, score and spans as the last three columns, in one pass without a shuffle.
 
     Nothing but the text is looked at. lang_pred is a language of the model, or und (score 0, no spans) for texts that
     are null or have no letter; of languages with equal shares the first by name. The model has BUCKETS figures a
-    language and is broadcast. Repeated rows and nulls in other columns stay; columns with the name of an output are
-    replaced. Without any labelled row every text is und.
+    language, of MOST_LANGUAGES at most, and is broadcast. A very long text is labelled whole, as a batch of its own. Repeated
+    rows and nulls in other columns stay, and so do the values of all columns of docs: where docs has a column with the name
+    of an output, the output's name gets an underscore. Without any labelled row every text is und. An empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
-    docs = docs.drop("lang_pred", "score", "spans")
     sent, uid, at = spark.sparkContext.broadcast(model), uuid.uuid4().hex, docs.columns.index("text")
     kind = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("lang", pa.string())]))
-    names = [*docs.columns, "lang_pred", "score", "spans"]
+    own = unused(docs.columns, "lang_pred", "score", "spans")
+    names = [*docs.columns, *own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _labeller(sent, uid, penalty)
@@ -239,7 +244,7 @@ def identify(docs: DataFrame, model: dict, penalty: float = PENALTY) -> DataFram
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), spans], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, spans {SPANS}")
+    return docs.mapInArrow(run, ", ".join([*([fields] if fields else []), f"`{own[0]}` string", f"`{own[1]}` double", f"`{own[2]}` {SPANS}"]))
 
 
 def held_out(doc_id: Column) -> Column:

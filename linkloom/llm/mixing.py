@@ -8,8 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import unused, written
+
 WORD = r"[^\x20\x09-\x0D]+"
 KEY_BITS = 60
+RANGES = 1024  # of a source, in a run
 
 
 def word_count(text: Column) -> Column:
@@ -36,61 +39,91 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
     return own.select("source", "source_size", F.least("most", F.col("level") * F.col("weight")).alias("target"))
 
 
+def sized(docs: DataFrame, size: Column, seed: int = 0) -> tuple[DataFrame, list[str]]:
+    """docs with each row's size and random key, and the names of these two columns, which docs doesn't have.
+
+    The key hashes doc_id and text, so that rows without doc_id, or with one that is given many times, are spread out too.
+    """
+    names = unused(docs.columns, "_mix_size", "_mix_key")
+    content = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), content))
+    return docs.withColumn(names[0], size.cast("long")).withColumn(names[1], F.conv(F.substring(key, 1, KEY_BITS // 4), 16, 10).cast("long")), names
+
+
+def placed(docs: DataFrame, names: Sequence[str], weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, rows_per_range: int = 1024) -> tuple[DataFrame, list[str]]:
+    """docs of sized() with source_size, target and taken, and the names of these three columns; see mix()."""
+    size, key = (F.col(n) for n in names)
+    at, upto, s, r, before, source_size, target, taken = unused(docs.columns, "_mix_range", "_mix_upto", "_mix_s", "_mix_r", "_mix_before", "_mix_source_size", "_mix_target", "_mix_taken")
+    ranges = max(1, math.ceil(docs.count() / rows_per_range))
+    docs = docs.withColumn(at, F.floor(key / F.lit(float(1 << KEY_BITS)) * ranges).cast("long"))
+    # Prefix sums in two levels: of the ranges in a run of RANGES, and of the runs of a source. The windows have that many rows.
+    sums = docs.groupBy(F.col("source").alias(s), F.col(at).alias(r)).agg(F.sum(size).alias("n")).withColumn("run", F.floor(F.col(r) / RANGES))
+    runs = sums.groupBy(F.col(s).alias("rs"), F.col("run").alias("rr")).agg(F.sum("n").alias("rn"))
+    running = lambda n, *by: F.sum(n).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(n)
+    aims = targets(runs.groupBy(F.col("rs").alias("source")).agg(F.sum("rn").alias("source_size")), weights, share, cap)
+    runs = runs.withColumn("run_before", running("rn", "rs", "rr"))
+    plan = sums.withColumn("range_before", running("n", s, "run", r)).join(runs, F.col(s).eqNullSafe(F.col("rs")) & (F.col("run") == F.col("rr")))
+    plan = plan.join(aims, F.col(s).eqNullSafe(F.col("source")))
+    plan = plan.select(s, r, (F.col("run_before") + F.col("range_before")).alias(before), F.col("source_size").alias(source_size), F.col("target").alias(target))
+    within = Window.partitionBy("source", at).orderBy(key, F.col("doc_id"), size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = docs.withColumn(upto, F.sum(size).over(within)).join(plan, F.col("source").eqNullSafe(F.col(s)) & (F.col(at) == F.col(r)))
+    words, whole = F.floor(target).cast("long"), F.col(source_size)
+    epochs = F.when(whole > 0, F.floor(words / F.greatest(whole, F.lit(1)))).otherwise(0).cast("long")
+    rest = words - epochs * whole - (F.col(before) + F.col(upto) - size)
+    out = out.withColumn(taken, (epochs * size + F.greatest(F.lit(0), F.least(size, rest))).cast("long"))
+    return out.drop(s, r, before, at, upto), [source_size, target, taken]
+
+
 def mix(docs: DataFrame, size: Column, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 0, rows_per_range: int = 1024) -> DataFrame:
-    """Adds size, source_size, target and taken to docs(doc_id, source, ...); no row goes, and each row takes 0 to cap times its size.
+    """Adds size, source_size, target and taken to docs(doc_id, source, text, ...); no row goes, and each row takes 0 to cap times its size.
 
-    Every row gets a key that hashes doc_id, and equal ranges of the key cut each source into runs of about
+    Every row gets a key that hashes doc_id and text, and equal ranges of the key cut each source into runs of about
     ``rows_per_range`` rows, so that a source with a third of all rows is spread over as many tasks as its size asks for.
-    Sizes are summed by (source, range), the sums are added up along each source, and a row's place is the sum before its
-    range plus the sizes before it within. A source takes its target of words exactly (rounded down): whole epochs first,
-    then rows in key order, the last of them in part. Nothing depends on how rows are partitioned, so reruns agree.
-
-    Null sources are a source of their own, null doc_ids have one key; ties are ordered by doc_id and size, and rows that
-    are equal in both can change places without a change to the result. Sources without words take nothing. An empty
-    table gives an empty result. Columns of docs that have the name of an output are replaced.
+    Sizes are summed by (source, range), the sums are added up along each source in two levels, and a row's place is the sum
+    before its range plus the sizes before it within. A source takes its target of words exactly (rounded down): whole epochs
+    first, then rows in key order, the last of them in part. Nothing depends on how rows are partitioned, so reruns agree.
+
+    Null sources are a source of their own; ties are ordered by doc_id and size, and rows that are equal in both and in text
+    can change places without a change to the result (they share a range, whose sort spills where they are very many). Null,
+    empty and wordless texts have no size and take nothing, nor do sources without words. Very long texts are one row each,
+    taken in part at most once. An empty table gives an empty result. Columns of docs keep their names and values: where docs
+    has a column with the name of an output, the output's name gets an underscore.
     """
-    rows = docs.count()
-    ranges = max(1, math.ceil(rows / rows_per_range))
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, KEY_BITS // 4), 16, 10).cast("long")
-    docs = docs.withColumn("_mix_size", size.cast("long")).drop("size", "source_size", "target", "taken")
-    docs = docs.withColumn("_mix_key", key).withColumn("_mix_range", F.floor(F.col("_mix_key") / F.lit(float(1 << KEY_BITS)) * ranges).cast("long"))
-    sums = docs.groupBy(F.col("source").alias("s"), F.col("_mix_range").alias("r")).agg(F.sum("_mix_size").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("s").orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    aims = targets(sums.groupBy(F.col("s").alias("source")).agg(F.sum("n").alias("source_size")), weights, share, cap)
-    plan = sums.select("s", "r", before.alias("before")).join(aims, F.col("s").eqNullSafe(F.col("source"))).drop("source")
-    within = Window.partitionBy("source", "_mix_range").orderBy("_mix_key", "doc_id", "_mix_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = docs.withColumn("_mix_upto", F.sum("_mix_size").over(within))
-    out = placed.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("_mix_range") == F.col("r")))
-    words, epochs = F.floor("target").cast("long"), F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
-    rest = words - epochs * F.col("source_size") - (F.col("before") + F.col("_mix_upto") - F.col("_mix_size"))
-    taken = epochs * F.col("_mix_size") + F.greatest(F.lit(0), F.least(F.col("_mix_size"), rest))
-    out = out.withColumn("taken", taken.cast("long")).withColumnRenamed("_mix_size", "size")
-    return out.drop("s", "r", "before", "_mix_key", "_mix_range", "_mix_upto")
+    full, names = sized(docs, size, seed)
+    full, more = placed(full, names, weights, share, cap, rows_per_range)
+    out = unused(docs.columns, "size", "source_size", "target", "taken")
+    return full.select(*docs.columns, *[F.col(a).alias(b) for a, b in zip([names[0], *more], out, strict=True)])
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: a row of docs for each time it is taken, in docs' own columns; a row taken in part keeps the start of its text."""
-    full = mix(docs.withColumn("_mix_n", F.lit(0)), word_count(F.col("text")), **how)
-    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))).otherwise(0).cast("int")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("taken") - (F.col("_mix_n") - 1) * F.col("size"))).cast("int")
-    out = full.filter(F.col("taken") > 0).withColumn("_mix_n", F.explode(F.sequence(F.lit(1), times)))
-    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.greatest(part, F.lit(1))), "")
-    cut = F.when(part < F.col("size"), start).otherwise(F.col("text"))
-    out = out.withColumn("text", cut)
+    """The mix itself: a row of docs(doc_id, source, text, ...) for each time it is taken, in docs' own columns; a row taken in part keeps the start of its text.
+
+    Rows that take nothing go, as do all without a word. Other columns keep their values, whatever their names; n_chars, if
+    docs has it, follows a text that is cut. For nulls, ties, repeated rows and empty tables see mix().
+    """
+    n, cut_to = unused(docs.columns, "_mix_n", "_mix_part")
+    full = mix(docs, word_count(F.col("text")), **how)
+    size, taken = (F.col(full.columns[k]) for k in (-4, -1))
+    out = full.filter(taken > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.ceil(taken / F.greatest(size, F.lit(1))).cast("int"))))
+    out = out.withColumn(cut_to, F.when((part := F.least(size, taken - (F.col(n) - 1) * size)) < size, part.cast("int")))
+    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.greatest(cut_to, F.lit(1))), "")
+    out = out.withColumn("text", F.when(F.col(cut_to).isNull(), F.col("text")).otherwise(start))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(part < F.col("size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(cut_to).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs, word_count(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    own, names = sized(docs, word_count(F.col("text")))
+    out, more = placed(written(own.drop("text"), "sizes"), names)  # words are counted once
+    return out.select("doc_id", *[F.col(a).alias(b) for a, b in zip([names[0], *more], ("size", "source_size", "target", "taken"), strict=True)])
 
 
 OP2_SQL = r"""
 with d as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
-         cast('0x' || substr(md5('0|' || cast(doc_id as varchar)), 1, 15) as bigint) as k
+         cast('0x' || substr(md5('0|' || coalesce(cast(doc_id as varchar), '') || '|' || md5(coalesce(text, ''))), 1, 15) as bigint) as k
   from documents),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 w as (

@@ -2,65 +2,33 @@
 
 from __future__ import annotations
 
-import atexit
+import ctypes
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-
-#: Odd multipliers that give each place of an n-gram its own weight.
-PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = getattr(shared_dir, "own", None)
-        if not at:
-            at = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="linkloom-")
-            atexit.register(_forget, at[len("file://") :])
-    return at.rstrip("/")
-
-
-def _forget(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
+from pyspark.sql import SparkSession
 
+from linkloom.sources.scratch import MADE, clean, new_folder, shared_dir, written
 
-#: Folders that this session has made.
-MADE: list[str] = []
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one."""
-    MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return MADE[-1]
-
-
-def clean(spark: SparkSession) -> None:
-    """Deletes all folders that this session has made, once no result is read any more. Works in any store that Spark knows."""
-    jvm = spark.sparkContext._jvm
-    while MADE:
-        at = jvm.org.apache.hadoop.fs.Path(MADE.pop())
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["MADE", "clean", "new_folder", "shared_dir", "written"]
 
+#: Odd multipliers that give each place of an n-gram its own weight.
+PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
-def written(df: DataFrame, name: str, path: str | None = None, parts: int | None = None) -> DataFrame:
-    """Writes a DataFrame as Parquet in the shared folder and reads it back: lineage ends there, on storage that outlives executors.
 
-    ``parts`` is the most files that a thin table is written to, so that many partitions don't leave as many small files.
-    """
-    spark = df.sparkSession
-    path = path or new_folder(spark, name)
-    (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores added as it takes to be none of the columns (as Spark compares them)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def width(spark: SparkSession) -> int:
@@ -69,13 +37,23 @@ def width(spark: SparkSession) -> int:
 
 
 def worker_cache(owner: str) -> dict:
-    """A dict that lives as long as the Python worker runs tasks of one operator; the next operator's replaces it."""
+    """A dict that lives as long as the Python worker runs tasks of one operator; the next operator's replaces it, and the memory goes back."""
     own = sys.modules.setdefault("_linkloom_worker_cache", types.ModuleType("_linkloom_worker_cache")).__dict__
     if own.get("owner") != owner:
         own["owner"], own["held"] = owner, {}
+        give_back()
     return own["held"]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, which the C library would keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def by_size(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts, as (begin, end), of about so many characters."""
     begin = size = 0

@@ -19,7 +19,8 @@ def by_hand(rows, rows_of=None):
     sizes, groups = defaultdict(int), defaultdict(list)
     for doc_id, text, source in rows:
         sizes[source] += words(text)
-        key = int(hashlib.md5(("0" if doc_id is None else f"0|{doc_id}").encode()).hexdigest()[:15], 16)
+        content = hashlib.md5((text or "").encode()).hexdigest()
+        key = int(hashlib.md5(f"0|{'' if doc_id is None else doc_id}|{content}".encode()).hexdigest()[:15], 16)
         groups[source].append((key, doc_id is not None, doc_id or 0, words(text), doc_id))
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
@@ -53,7 +54,7 @@ def same(got, want):
 
 
 def run(df, **how):
-    return [tuple(r) for r in M.mix(df, M.word_count(F.col("text")), **how).select("doc_id", "size", "source_size", "target", "taken").collect()]
+    return [tuple(r) for r in M.mix(df.select("doc_id", "source", "text"), M.word_count(F.col("text")), **how).select("doc_id", "size", "source_size", "target", "taken").collect()]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -69,7 +70,26 @@ def test_against_brute_force(docs_of, seed):
 
 def test_odd_rows(odd):
     same(run(odd), by_hand([(r["doc_id"], r["text"], r["source"]) for r in odd.collect()]))
-    assert set(M.mix(odd, M.word_count(F.col("text"))).columns) >= {"doc_id", "text", "score", "size", "taken"}
+    both = M.mix(odd, M.word_count(F.col("text")))
+    assert both.columns == [*odd.columns, "size_", "source_size", "target", "taken_"]
+    assert sorted(map(repr, both.select(odd.columns).collect())) == sorted(map(repr, odd.collect()))  # the caller's columns keep their values
+    same([tuple(r) for r in both.select("doc_id", "size_", "source_size", "target", "taken_").collect()], by_hand([(r["doc_id"], r["text"], r["source"]) for r in odd.collect()]))
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_one_id_for_a_third_of_the_rows(docs_of, doc_id):
+    rng = random.Random(5)
+    rows = [(k if k % 3 else doc_id, f"t{k} " * rng.randrange(9), "en", rng.choice("aab"), 0) for k in range(900)]
+    same(run(docs_of(rows), rows_per_range=20), by_hand([(r[0], r[1], r[3]) for r in rows]))
+    own, names = M.sized(docs_of(rows), M.word_count(F.col("text")))
+    keys = own.filter(F.col("doc_id").eqNullSafe(F.lit(doc_id))).select((F.col(names[1]) / (1 << 50)).cast("int").alias("r")).groupBy("r").count()
+    assert keys.agg(F.max("count")).first()[0] < 60  # texts spread them
+
+
+def test_runs_of_ranges(docs_of, monkeypatch):
+    monkeypatch.setattr(M, "RANGES", 3)
+    rows = [(k, f"t{k} " * (k % 11), "en", "aab"[k % 3], 0) for k in range(400)]
+    same(run(docs_of(rows), rows_per_range=5), by_hand([(r[0], r[1], r[3]) for r in rows]))
 
 
 def test_empty(empty):
@@ -87,7 +107,9 @@ def test_documents(docs_of, odd):
         assert rows[r["doc_id"]][1].startswith(r["text"])
         assert r["n_chars"] == (9 if r["text"] == rows[r["doc_id"]][1] else len(r["text"]))
     assert got == {k: n for k, n in taken.items() if n}
-    assert M.mixed_documents(odd).columns == odd.columns
+    mixed = M.mixed_documents(odd)
+    assert mixed.columns == odd.columns
+    assert {(r["size"], r["taken"], r["score"]) for r in mixed.collect()} == {("x", 1, 2.0)}
 
 
 def test_reruns_agree(docs_of):

@@ -46,12 +46,18 @@ def test_folders(spark):
 def test_the_sessions_folder_is_taken():
     from types import SimpleNamespace
 
-    session = lambda at: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: at if key == "spark.checkpoint.dir" else default))
-    assert S.shared_dir(session("hdfs://x/y/")) == "hdfs://x/y"
+    session = lambda at, master="local[2]": SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: {"spark.checkpoint.dir": at, "spark.master": master}[key] or default))
+    assert S.shared_dir(session("hdfs://x/y/", "yarn")) == "hdfs://x/y"
+    with pytest.raises(ValueError):
+        S.shared_dir(session(None, "yarn"))
     own = S.shared_dir(session(None))
     assert own.startswith("file:///") and own == S.shared_dir(session(""))
 
 
+def test_unused_names():
+    assert S.unused(["a", "B", "b_"], "a", "b", "c", "c") == ["a_", "b__", "c", "c_"]
+
+
 @pytest.mark.parametrize("missing", [False, True])
 def test_the_rest_stands_alone(tmp_path, missing):
     """Without this subpackage and the pipeline the entry still imports, and has the other queries."""
