@@ -156,3 +156,30 @@ def test_semantic_inverse(spark):
     cases = {"https://www.e.com:81/a?b#c": "https://www.e.com:81/a?b#c", "HTTP://WWW.e.com": "http://www.e.com", "http://e.com/%41": "http://e.com/A", "mailto:x": "mailto://"}
     got = urls(spark, cases).select("url", U.semantic_url(U.semantic(F.col("url"))).alias("u")).collect()
     assert {r["url"]: r["u"] for r in got} == cases
+
+
+def test_reports_as_text(spark):
+    own = urls(spark, ["http://a.com/x?k=1"] * 3 + ["http://b.com/x"])
+    text = stats.ngram_text(ngrams.entropies(ngrams.ngram_counts(own, "url", range(5))), ngrams.distinct_ngrams(ngrams.ngram_counts(own, "url", range(5))))
+    assert "ENTROPY, BITS A BYTE\n" in text and "DISTINCT N-GRAMS\n" in text and len(text.splitlines()) == 3 + 1 + 7
+    text = stats.component_text(ngrams.entropies(ngrams.ngram_counts(ngrams.components(own), "text", range(5), "component")))
+    assert text.splitlines()[2].startswith("whole_url") and "query_value" in text
+    text = stats.vocabulary_text(models.vocabulary_model(own, 2).first(), 1)
+    assert "DOMAIN LABELS\n             4  com\n\n" in text and "urls:" in text
+    assert stats.table_text([], "none") == "NONE\n(none)"
+
+
+def test_contexts_of_order_zero(spark):
+    """A model without order 0, one with it alone, and one with all, on bytes that it knows and doesn't."""
+    own = spark.createDataFrame([(1, "aab"), (2, "b"), (3, "zé"), (4, "")], "url_id int, url string")
+    counts = models.context_counts(urls(spark, ["aab", "ab"]))
+    bits = lambda m: {r["url_id"]: r["bits"] for r in models.ideal_bits(own, models.context_model(m, 1)).collect()}
+    best = lambda m: {(r["url_id"], r["pos"]): r["best_order"] for r in models.best_contexts(own, models.context_model(m, 1)).collect()}
+    log = math.log2
+    zero = counts.filter("ctx_order = 0")  # a 3, b 2
+    assert bits(zero) == pytest.approx({1: 2 * (log(6) - log(3)) + log(6) - log(2), 2: log(6) - log(2), 3: 3 * (log(6) + 8)}, abs=1e-4)
+    assert bits(counts.filter("ctx_order = 9")) == {1: 24.0, 2: 8.0, 3: 24.0}
+    one = counts.filter("ctx_order = 1")  # a: b 2, a 1
+    assert bits(one) == pytest.approx({1: 8 + log(4) - log(1) + log(4) - log(2), 2: 8, 3: 24}, abs=1e-4)
+    assert set(best(zero).values()) == {0} and set(best(counts.filter("ctx_order = 9")).values()) == {-1}
+    assert best(one) == {(1, 1): -1, (1, 2): 1, (1, 3): 1, (2, 1): -1, (3, 1): -1, (3, 2): -1, (3, 3): -1}
