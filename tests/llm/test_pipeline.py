@@ -53,6 +53,35 @@ def test_every_stage_against_brute_force(spark, folder):
     assert corpus_pipeline.run(spark, at).count() == len(tokens)
 
 
+def test_odd_rows(spark, tmp_path):
+    """Null ids, repeated rows, very long texts, and columns that have the names of what the stages add."""
+    rng = random.Random(9)
+    text = lambda lang, n: " ".join(rng.choice(WORDS[lang]) for _ in range(n))
+    long = text("en", 60_000)
+    rows = [(k, text(lang := "en" if k % 2 else "fr", 120), lang, "abc"[k % 3], 0) for k in range(40)]
+    rows += [(50, long, "en", "a", 0), (51, long + " end", "en", "b", 0), (None, text("en", 80), "en", "a", 0), (None, None, None, None, None), (52, "", "en", "a", 0)]
+    rows += [(60, text("fr", 90), None, None, None)] * 7 + [(None, text("fr", 70), "fr", "c", 0)] * 5 + [(61, "1 2 3", "en", "a", 0)]
+    own = "size string, source_size int, target string, taken int, lang_pred string, score double, spans string, n_shingles int, component_id string, kept string, start string, n_tokens string"
+    names = [x.split()[0] for x in own.split(", ")]
+    clash = ("x", 1, "y", 2, "z", 3.0, "s", 4, "c", "k", "b", "t")
+    at = f"file://{tmp_path}"
+    spark.createDataFrame([(*r, *clash) for r in rows], f"{DOCS}, {own}").repartition(5).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, text("en", 40)), (None, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    docs, want = spark.read.parquet(f"{at}/documents.parquet"), [r[:2] for r in rows if r[1] and langid.words(r[1])]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns, docs = docs.columns, written(stage(spark, docs, at), name.replace(" ", "-"))
+        got = docs.collect()
+        assert docs.columns == columns and {tuple(r[c] for c in names) for r in got} == {clash}, name
+        if name == "language ID":
+            assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(want, key=repr)
+        if name == "MinHash near-dedup":  # repeated rows and near copies are one
+            want = sorted({r for r in want if r[0] != 51}, key=repr)
+        if name == "benchmark decontamination":
+            assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == want
+    check(corpus_pipeline.tokens(spark, docs, at).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert corpus_pipeline.run(spark, at).count() == docs.count()
+
+
 def test_texts_in_three_languages_stay(docs_of):
     rng = random.Random(7)
     known = {**WORDS, "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei".split()}
