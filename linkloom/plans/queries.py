@@ -249,7 +249,9 @@ _LISTS_SQL = ", ".join(f"(with v as ({v}), t as ({TOP_SQL}) select string_agg(va
 def _grams_sql(orders: range, table: str, group: str = "'all'", text: str = "url") -> str:
     """g: the longest windows from each byte on, in hex, counted; n: those of each order, as their beginnings."""
     longest = 2 * (max(orders) + 1)
-    windows = f"select {group} as grp, unnest(list_transform(generate_series(1, length(h) // 2), lambda i: substr(h, 2 * i - 1, {longest}))) as w from (select *, hex(encode({text})) as h from {table})"
+    # Long texts are cut into pieces first, as to find a place in a long text takes time.
+    pieces = f"select grp, unnest(list_transform(generate_series(0, (length(h) - 1) // 2000), lambda j: struct_pack(p := substr(h, 2000 * j + 1, {2000 + longest - 2}), m := least(1000, length(h) // 2 - 1000 * j)))) as x from (select {group} as grp, hex(encode({text})) as h from {table}) where length(h) > 0"
+    windows = f"select grp, unnest(list_transform(generate_series(1, x.m), lambda i: substr(x.p, 2 * i - 1, {longest}))) as w from ({pieces})"
     each = (f"select grp, {k} as k, substr(w, 1, {2 * k + 2}) as g, cast(sum(c) as bigint) as c from g where length(w) >= {2 * k + 2} group by grp, substr(w, 1, {2 * k + 2})" for k in orders)
     return f"g as (select grp, w, count(*) as c from ({windows}) group by grp, w), n as ({' union all '.join(each)})"
 
