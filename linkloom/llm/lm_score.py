@@ -12,8 +12,8 @@ so the backoff weight of h is prior / (c(h) + prior), and the probabilities of a
 No task holds the model. Texts are dealt to blocks. Order by order, a block asks for the counts of its own n-grams, the
 counts are summed by hash ranges over all blocks, and each block gets back those it asked for. It asks only for
 n-grams that other blocks can have as well, those whose shorter parts both are elsewhere; of others its own count is all. At last
-each block builds the part of the automaton that its texts can reach, and walks it from left to right: the state is carried
-from word to word, along an arc or, while there is none, along failure arcs. There are as many hash ranges as the corpus has
+each block builds the part of the automaton that its texts can reach, and walks it from left to right, many texts at a time: the
+state is carried from word to word, along an arc or, while there is none, along failure arcs. There are as many hash ranges as the corpus has
 RANGE_TOKENS tokens, so a task holds a block or a range whatever the corpus and its vocabulary; an n-gram that every block
 asks for is one row a block.
 """
@@ -35,6 +35,7 @@ PRIORS = (300.0, 10.0)  # of pairs, of triples
 BLOCK_TOKENS = 400_000
 RANGE_TOKENS = 250_000  # tokens of the corpus a hash range: a block never asks for more n-grams of an order than it has tokens
 RANGES_A_TASK, BLOCKS_A_TASK = 4, 8
+LANE = 256  # tokens
 #: Tokens with white space, which no word has.
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end", b" begin"))
 RARE = 0xFFFF
@@ -86,13 +87,12 @@ class Grams:
     """A block's distinct n-grams of one order.
 
     ``at``: the n-gram that ends at each token, -1 where the text's begin is too near. ``keys``: their hashes, equal in all
-    blocks. ``left``, ``right``: each one's n-gram of the order below without its last word, and without its first;
-    ``word``: its last word.
+    blocks. ``left``, ``right``: each one's n-gram of the order below without its last word, and without its first.
     ``own``: its count in the block's training texts; ``count``: in all of them.
     """
 
-    def __init__(self, at: np.ndarray, keys: np.ndarray, left: np.ndarray, right: np.ndarray, word: np.ndarray, train: np.ndarray):
-        self.at, self.keys, self.left, self.right, self.word = at, keys, left, right, word
+    def __init__(self, at: np.ndarray, keys: np.ndarray, left: np.ndarray, right: np.ndarray, train: np.ndarray):
+        self.at, self.keys, self.left, self.right = at, keys, left, right
         self.own = np.bincount(at[train & (at >= 0)], minlength=len(keys))
         self.count = self.own.copy()
         self.elsewhere = np.ones(len(keys), bool)  # whether other blocks have it
@@ -111,7 +111,7 @@ class Block:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.trained = np.repeat(self.train, self.lengths)
         none = np.zeros(len(self.words), np.int64)
-        self.orders = [Grams(self.tokens, mixed(self.words), none, none, np.arange(len(self.words)), self.trained)]
+        self.orders = [Grams(self.tokens, mixed(self.words), none, none, self.trained)]
 
     def extend(self) -> None:
         """Builds the next order. A text's begin is a word that only contexts have, numbered after the others."""
@@ -131,7 +131,7 @@ class Block:
         keys = mixed(parents[left] * np.uint64(0x9E3779B97F4A7C15) + mixed(self.words[word] ^ np.uint64(n)))
         right = np.empty(len(code), np.int32)
         right[at] = below.at[there]
-        self.orders.append(Grams(full, keys, left, right, word, self.trained))
+        self.orders.append(Grams(full, keys, left, right, self.trained))
 
     def open(self) -> np.ndarray:
         """Places of the last order's n-grams that other blocks could have too, in the order of their keys."""
@@ -154,50 +154,61 @@ class Block:
 class Automaton:
     """The states and arcs that a block's texts can reach.
 
-    State 0 is the root, with an arc for each of the block's words. Then come the words and the begin of a text as contexts,
-    then pairs of words, and so on, each in the block's numbering. A context that training doesn't have is no state: no arc
-    leads there. ``arcs`` finds an arc by state and word; an arc has a weight and a target, a state but the root a failure arc.
+    A state is a context of n words that training has, the root that of none. Its arc for a word is the n-gram of n + 1 words
+    that ends there, numbered as in the block's order n, and exists if training has that n-gram; the arc leads to the longest
+    context that ends with it. A state but the root has a failure arc to the context without its first word. ``arcs`` and
+    ``failures`` are by order the weights of the arcs, and of the failure arcs of the states that they leave.
     """
 
     def __init__(self, block: Block, texts: int, total: int, distinct: int, priors: Sequence[float]):
-        words, self.n_words = block.orders[0], len(block.words)
+        words = block.orders[0]
         p = (words.count + 0.5) / (total + 0.5 * (distinct + 1))
-        self.root = np.log10(p)
-        known = words.count > 0
-        keys, weights, targets = [np.arange(self.n_words)], [self.root], [np.where(known, 1 + np.arange(self.n_words), 0) if len(priors) else np.zeros(self.n_words, np.int64)]
-        failures, costs = [np.zeros(1, np.int64)], [np.zeros(1)]
-        first = 1  # number of the first state of this order
+        self.arcs, self.failures, self.exists, self.known = [np.log10(p)], [np.zeros(len(p))], [np.ones(len(p), bool)], words.count > 0
         for n, prior in enumerate(priors[: len(block.orders) - 1], 1):
             grams, below = block.orders[n], block.orders[n - 1]
-            counts = (np.append(below.count, texts) if n == 1 else below.count).astype(float)
-            after = first + len(counts)
-            failures.append(np.zeros(len(counts), np.int64) if n == 1 else before + below.right)
-            costs.append(np.log10(prior / (counts + prior)))
-            p = (grams.count + prior * p[grams.right]) / (counts[grams.left] + prior)
-            there = np.flatnonzero(grams.count > 0)
-            keys.append((first + grams.left[there].astype(np.int64)) * self.n_words + grams.word[there])
-            weights.append(np.log10(p[there]))
-            targets.append(after + there if n < len(priors) else first + grams.right[there].astype(np.int64))
-            before, first = first, after
-        self.begin = 1 + self.n_words if len(priors) and texts else 0
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), range(sum(map(len, keys))), strict=True))
-        self.weights, self.targets = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
-        self.failures, self.costs = np.concatenate(failures).tolist(), np.concatenate(costs).tolist()
+            context = (np.append(below.count, texts) if n == 1 else below.count)[grams.left].astype(float)
+            p = (grams.count + prior * p[grams.right]) / (context + prior)
+            self.arcs.append(np.log10(p))
+            self.failures.append(np.log10(prior / (context + prior)))
+            self.exists.append(grams.count > 0)
 
     def traverse(self, block: Block) -> np.ndarray:
-        """The weight of each step, from left to right: what the failure arcs cost that are taken before the word has an arc, and that arc's own."""
-        arc_of, weights, targets, failures, costs, n_words = self.arcs.get, self.weights, self.targets, self.failures, self.costs, self.n_words
-        tokens, steps = block.tokens.tolist(), []
-        for start, length in zip(block.starts.tolist(), block.lengths.tolist(), strict=True):
-            state = self.begin
-            for word in tokens[start : start + length]:
-                cost = 0.0
-                while (arc := arc_of(state * n_words + word)) is None:
-                    cost += costs[state]
-                    state = failures[state]
-                steps.append(cost + weights[arc])
-                state = targets[arc]
-        return np.array(steps)
+        """The weight of each step of all texts, read from left to right with the state carried along.
+
+        Texts are cut into lanes of LANE tokens, and all lanes of the block make their t-th step together. A lane that begins
+        a text starts in the state of its begin; one that goes on with a text starts at the root, as many tokens earlier as
+        the longest context has, which leads to the same state. With a lane's place, the length of its context tells its state.
+        """
+        longest, tokens = len(self.arcs) - 1, block.tokens
+        lanes = -(-block.lengths // LANE)
+        part = np.arange(int(lanes.sum())) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        lead = np.where(part > 0, longest, 0)
+        begin = np.repeat(block.starts, lanes) + part * LANE - lead
+        size = np.minimum(np.repeat(block.starts + block.lengths, lanes), begin + lead + LANE) - begin
+        order = np.argsort(-size, kind="stable")
+        begin, size, lead = begin[order], size[order], lead[order]
+        state = np.where(part[order] > 0, 0, min(1, longest))
+        alive = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right")  # lanes with a t-th step
+        steps = np.zeros(len(tokens))
+        for t, m in enumerate(alive.tolist()):
+            at, now, cost = begin[:m] + t, state[:m], np.zeros(m)
+            after = np.zeros(m, np.int64)
+            for n in range(longest, 0, -1):
+                here = np.flatnonzero(now == n)
+                gram = block.orders[n].at[at[here]]
+                there = self.exists[n][gram]
+                cost[here] += np.where(there, self.arcs[n][gram], self.failures[n][gram])
+                after[here[there]] = min(n + 1, longest)
+                now[here] = np.where(there, -1, n - 1)
+            here = np.flatnonzero(now == 0)
+            word = tokens[at[here]]
+            cost[here] += self.arcs[0][word]
+            if longest:
+                after[here] = self.known[word]
+            state[:m] = after
+            own = t >= lead[:m]
+            steps[at[own]] = cost[own]
+        return steps
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -326,7 +337,7 @@ def score(docs: DataFrame, learn: Column, priors: Sequence[float] = PRIORS, bloc
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(b.doc_ids, mask=b.no_id), pa.array(b.train), pa.array(b.lengths), add((b.orders[0].count > 0)[b.tokens].astype(np.int64)),
-                        pa.array(np.full(len(b.lengths), total, np.int64)), add(a.root[b.tokens]), add(a.traverse(b)),
+                        pa.array(np.full(len(b.lengths), total, np.int64)), add(a.arcs[0][b.tokens]), add(a.traverse(b)),
                     ], names,
                 )
 

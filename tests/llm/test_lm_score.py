@@ -46,6 +46,25 @@ def run(df, **how):
     return sorted(((*tuple(r)[:5], round(r["base_score"], 5), round(r["score"], 5)) for r in S.score(df, learn(), **how).collect()), key=repr)
 
 
+@pytest.mark.parametrize("lane", [3, 7])
+def test_long_texts_in_lanes(docs_of, monkeypatch, lane):
+    """Texts of many lanes, through known and unknown words, are scored as from left to right."""
+    monkeypatch.setattr(S, "LANE", lane)
+    rng = random.Random(3)
+    rows = [(k, words(rng, rng.choice([1, lane - 1, lane, 60, 400]), rng.choice([5, 60, 3000])), "en", "s", 0) for k in range(40)]
+    for a, b in zip(run(docs_of(rows), priors=(3.0, 1.5)), by_hand([r[:2] for r in rows], (3.0, 1.5)), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-4)
+
+
+@pytest.mark.parametrize("tokens", [10, 1000])
+def test_many_ranges(docs_of, monkeypatch, tokens):
+    monkeypatch.setattr(S, "RANGE_TOKENS", tokens)
+    rng = random.Random(4)
+    rows = [(k, words(rng, 50, 300), "en", "s", 0) for k in range(80)]
+    for a, b in zip(run(docs_of(rows), block_tokens=300), by_hand([r[:2] for r in rows], S.PRIORS), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=2e-5)
+
+
 @pytest.mark.parametrize("block", [1, 50, 10**6])
 @pytest.mark.parametrize("priors", [(), (3.0,), (3.0, 1.5), (3.0, 1.5, 0.5)])
 def test_against_brute_force(docs_of, block, priors):
