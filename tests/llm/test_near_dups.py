@@ -82,7 +82,7 @@ def test_hub_is_not_the_smallest(docs_of):
     assert {r[2] for r in got} == {0}
 
 
-@pytest.mark.parametrize("stars", [0, 1, 3])
+@pytest.mark.parametrize("stars", [0, 2])
 def test_outlier_in_the_middle_of_a_bucket(docs_of, monkeypatch, stars):
     """The smallest doc_id shares bands with a family but is similar to none: stars around it find nothing, later ones and blocks do."""
     monkeypatch.setattr(N, "STARS", stars)
