@@ -66,8 +66,9 @@ def quality(docs: DataFrame, host: str = "source", min_words: int = 50, min_docs
 
     Lines are counted by distinct (host, line, content), partly before the shuffle; frequent lines are joined back in
     SALTS copies, so that one line with a third of all rows is spread out; what is removed is summed by row. A null host
-    is a host of its own; null texts have no words and fail; null and repeated doc_ids and repeated rows keep their rows.
-    An empty table gives an empty result. Other columns aren't read.
+    is a host of its own; null, empty and wordless texts have no words and fail; null and repeated doc_ids and repeated rows
+    keep their rows. Very long texts are judged whole. A line that is held by exactly the limit stays, as does a document
+    with exactly ``keep`` of its words. An empty table gives an empty result. Other columns aren't read.
     """
     rows = docs.select("doc_id", F.col(host).alias("host"), F.col("text"))
     base = base_rules(rows.withColumn("content", F.unhex(F.md5(F.coalesce("text", F.lit("")))))).drop("text")
