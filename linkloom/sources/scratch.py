@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,22 +32,36 @@ def _forget(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
-#: Folders that this session has made.
+#: Folders that this session has made, and the threads that made them.
 MADE: list[str] = []
+MAKERS: dict[str, int] = {}
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one."""
-    MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return MADE[-1]
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
+    MAKERS[path] = threading.get_ident()
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def clean(spark: SparkSession) -> None:
     """Deletes all folders that this session has made, once no result is read any more. Works in any store that Spark knows."""
-    jvm = spark.sparkContext._jvm
     while MADE:
-        at = jvm.org.apache.hadoop.fs.Path(MADE.pop())
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, MADE.pop())
+
+
+def discard(spark: SparkSession, since: int, *keep: str) -> None:
+    """Deletes the folders that this thread has made since MADE had ``since`` entries, but those of the names to keep: what nothing reads any more needs no disk."""
+    for path in MADE[since:]:
+        if MAKERS.get(path) == threading.get_ident() and path.rpartition("/")[2].rpartition("-")[0] not in keep:
+            _delete(spark, path)
+            MADE.remove(path)
 
 
 def written(df: DataFrame, name: str, path: str | None = None, parts: int | None = None) -> DataFrame:
