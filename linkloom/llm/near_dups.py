@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import PLACES, WordHashes, lower_words, mixed, ngram_hashes, worker_cache, word_hashes, written
+from .shared import MADE, PLACES, WordHashes, discard, lower_words, mixed, ngram_hashes, worker_cache, word_hashes, written
 
 SHINGLE = 5
 BINS, ROWS = 128, 4  # 32 bands: a pair at 0.75 shares none with a chance of 5e-6
@@ -259,6 +259,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """near_duplicates with the text_key of each row, and first: whether it is one of those that stand for their class and the class for its component."""
+    since = len(MADE)
     base = written(signed(docs), "signed")
     parts = 1 + base.count() // PER_FILE
     thin = lambda df, name: written(df, name, parts=parts)
@@ -310,6 +311,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
     named_roots = roots.select(F.col("node").alias("doc_id"), F.col("root"))
     found = thin(classes.join(named_roots, "doc_id", "left").select("digest", F.col("doc_id").alias("first_id"), "first_key", F.coalesce("root", "doc_id").alias("root")), "roots")
+    discard(docs.sparkSession, since, "signed", "roots")  # the result reads these alone
     out = base.select("doc_id", "text_key", "n", "digest").join(found, "digest", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("root", "doc_id"))
     first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key")) & F.col("first_id").eqNullSafe(F.col("root"))
@@ -324,7 +326,9 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     doc_id go if a row with one has the same set; else one of the class stays. Near copies that aren't of one class stay if
     they have the same doc_id, as one document, or no doc_id, as those are linked with nothing. Rows without a word all stay.
     """
+    since = len(MADE)
     found = written(verdicts(docs).filter("n_shingles > 0").groupBy("doc_id", "text_key", "first").agg(F.count("*").alias("rows")), "verdicts")
+    discard(docs.sparkSession, since, "verdicts")
     ids, key = docs["doc_id"].cast("long"), F.xxhash64(docs["text"])
 
     def of(rows: DataFrame, verdict: DataFrame, how: str) -> DataFrame:

@@ -12,9 +12,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import SparkSession
 
-from linkloom.sources.scratch import MADE, clean, new_folder, shared_dir, written
+from linkloom.sources.scratch import MADE, clean, discard, new_folder, shared_dir, written
 
-__all__ = ["MADE", "clean", "new_folder", "shared_dir", "written"]
+__all__ = ["MADE", "clean", "discard", "new_folder", "shared_dir", "written"]
 
 #: Odd multipliers that give each place of an n-gram its own weight.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)

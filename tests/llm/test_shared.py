@@ -43,6 +43,14 @@ def test_folders(spark):
     assert not Path(path.removeprefix("file://")).exists() and not S.MADE
 
 
+def test_discard(spark):
+    since = len(S.MADE)
+    kept, gone = S.written(spark.range(3), "two-words"), S.written(spark.range(4), "gone")
+    S.discard(spark, since, "two-words")
+    assert kept.count() == 3 and len(S.MADE) == since + 1
+    assert not Path(gone.inputFiles()[0].removeprefix("file://")).exists()
+
+
 def test_the_sessions_folder_is_taken():
     from types import SimpleNamespace
 
