@@ -90,6 +90,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
         if misses.filter("rows > 1").limit(1).count():  # repeated rows: the same text under the same id, or without one
             chosen = chosen.dropDuplicates(["digest"])
         found = chosen.mapInArrow(encode, "digest binary, n_tokens long")
+        # A thin shuffle of its own, so that fewer files don't mean fewer tasks that encode.
+        found = found.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
         found.select("digest", F.lit(version).alias("tokenizer"), "n_tokens", F.lit(run).alias("run")).coalesce(parts).write.mode("append").parquet(cache)
     # Calls at the same time can both append a digest. Written out, its one row is a plain side of the join, so that
     # adaptive execution can split a digest with very many copies on the other side.
